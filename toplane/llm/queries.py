@@ -10,8 +10,9 @@ from toplane.llm.language import op4_language_id
 from toplane.llm.linededup import op6_line_dedup
 from toplane.llm.quality import op9_quality
 from toplane.llm.secrets import op2_secrets
+from toplane.llm.suffix import op3_suffix_dedup
 from toplane.llm.token_counts import op1_token_counts
 from toplane.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op4_language_id, op5_toxicity, op6_line_dedup, op7_decontaminate, op8_bpe, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_suffix_dedup, op4_language_id, op5_toxicity, op6_line_dedup, op7_decontaminate, op8_bpe, op9_quality, op10_jaccard_join)}
 ORACLES = {"op6_line_dedup": linededup.ORACLE}

@@ -67,7 +67,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes, and where each text begins and ends in them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"")
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
