@@ -155,8 +155,9 @@ def learn(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
 def identify(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """The key columns of each row, lang_pred, score, ambiguous."""
-    inner = docs.select(*keys, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, "lang_pred string, score double, ambiguous boolean")
+    names = [f"key_{i}" for i in range(len(keys))]
+    inner = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keys, strict=True)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col(text_col).alias("text"))
+    schema = extended(docs.select(*keys).schema, "lang_pred string, score double, ambiguous boolean")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
