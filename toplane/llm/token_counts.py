@@ -26,7 +26,7 @@ from toplane.llm.shared import extended, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths that share a range of the suffix sums.
-RANGE = 1024
+RANGE = 64
 
 _encodings: dict[str, object] = {}
 
