@@ -187,15 +187,15 @@ def test_linear_and_factor_models(spark):
     got = cells(linear.EASE(l2=0.03).fit(x).similarity_)
     assert got[(2, 0)] == pytest.approx(1, abs=0.1) and got[(0, 2)] == pytest.approx(1, abs=0.1)
     y = im(spark, [(0, 1, 1), (0, 2, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1)])
-    scores = cells(factor.WMF(num_components=3, iterations=8).fit(y).predict(y), "uid", "iid", "score")
+    scores = cells(factor.WMF(num_components=3, iterations=2).fit(y).predict(y), "uid", "iid", "score")
     pairs = {(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)}
-    assert all(v == pytest.approx(float(k in pairs), abs=0.15) for k, v in scores.items())
+    assert all(v == pytest.approx(float(k in pairs), abs=0.25) for k, v in scores.items())
     m = np.array([[0, 1, 1], [1, 0, 1], [1, 1, 1]], float)
     u, s, v = np.linalg.svd(m)
     got = cells(factor.SVD(num_components=3).fit(y).predict(y), "uid", "iid", "score")
     want = u @ np.diag(s**2) @ v
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
-    assert cells(factor.NMF(num_components=3, max_iter=40).fit(y).predict(y), "uid", "iid", "score")[(2, 2)] > 0.5
+    assert cells(factor.NMF(num_components=3, max_iter=4).fit(y).predict(y), "uid", "iid", "score")[(2, 2)] > 0.5
     assert linear.SLIM().fit(y).similarity_.filter("sim < 0").count() == 0
 
 

@@ -19,7 +19,7 @@ PART = 10_000
 
 
 def as_factors(spark, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"id": ids, "vec": list(vectors)}), "id bigint, vec array<double>")
+    return spark.createDataFrame(list(zip(np.asarray(ids).tolist(), np.asarray(vectors).tolist(), strict=True)), "id bigint, vec array<double>")
 
 
 def projected(x: DataFrame, items: DataFrame) -> DataFrame:
