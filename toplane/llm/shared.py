@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -29,6 +30,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, Callable[[], None]]:
+    """As stored(), in buckets of a key: joins on the key move only their other side.  Call the second to forget the table's name once all that reads it is written."""
+    spark, name = df.sparkSession, f"toplane_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/toplane/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") and None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
