@@ -244,6 +244,19 @@ def test_decontamination(spark, documents, odd, empty, sf_dir, limit):
 PARA = " ".join(f"w{i}" for i in range(3, 20))
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 100])
+def test_each_row_stays_whatever_the_benchmarks_size(spark, limit):
+    one, two, mix = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12)), " ".join(f"c{i}" for i in range(30))
+    rows = [(1, f"{one} {mix}"), (1, f"{one} {mix}"), (1, f"{mix} {two}"), (2, f"{one}, {two}"), (None, f"{two}. {mix}"), (None, mix), (None, None), (3, f"é {two} {mix} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, one), (2, two), (3, two)], "item_id bigint, text string")
+    found = decontaminate.find_hits(docs, items, ["doc_id"], max_items_bytes=limit).collect()
+    got = [(r["doc_id"], r["n_words"], sum(x["words"] for x in r["hit_words"]), len(r["items"]), sha(",".join(r["items"])), bool(r["hit_words"])) for r in found]
+    assert sorted(got, key=key) == sorted(plain_hits(rows, [(1, one), (2, two), (3, two)]), key=key)
+    # runs whose words touch are one run, in bytes too
+    assert [[tuple(x) for x in r["hit_bytes"]] for r in found if r["doc_id"] == 2] == [[(0, len(f"{one}, {two}"))]]
+
+
 def test_spans_are_cut_out(spark):
     docs = spark.createDataFrame([(1, "Keep this. " + PARA.upper() + "! And " + " ".join(f"v{i}" for i in range(30)), "x"), (2, PARA, "y"), (3, None, "z"), (4, "clean", "z")], "doc_id bigint, text string, items string")
     items = spark.createDataFrame([(1, PARA)], "item_id bigint, text string")

@@ -5,7 +5,7 @@ case.  A window is ten consecutive words of an item; an item with fewer words,
 but not none, is one window.  The set of windows is broadcast only while the
 test items' own text is below `max_items_bytes`; larger benchmarks go in blocks
 of items, one scan of the documents for each block, and the blocks' hits are
-brought together by row.  A window that the set knows is verified word for word.
+brought together by a number that each row is given and stored with.  A window that the set knows is verified word for word.
 
 Nulls and empty texts have no words: no hit.  Repeated rows each give a row.
 Items that are equal in text all count.  An empty benchmark hits nothing.
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, stored, table
 from toplane.llm.textops import LOWER, NORMAL_WORD, chunks, gram_hashes, prefix_hashes, segments, span_hashes
 
 WINDOW = 10
 #: Above this many bytes of item text, the items go in blocks of that size.
 MAX_ITEMS_BYTES = 64 << 20
+#: What a scan adds to the key columns.
+HITS = "n_words bigint, hit_words array<struct<first:bigint,words:bigint>>, hit_bytes array<struct<first:bigint,bytes:bigint>>, items array<string>"
 
 
 def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, dict]:
@@ -116,33 +118,57 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col:
     """
     spark = docs.sparkSession
     inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, "n_words bigint, hit_words array<struct<first:bigint,words:bigint>>, hit_bytes array<struct<first:bigint,bytes:bigint>>, items array<string>")
-    parts = []
-    for block in item_blocks(benchmark, item_col, item_text_col, max_items_bytes):
-        sent = spark.sparkContext.broadcast(windows_of(block, window))
-        parts.append(inner.mapInArrow(lambda it, sent=sent: scan(it, sent.value), schema))
-    if not parts:
-        return inner.mapInArrow(lambda it: scan(it, {}), schema)
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    runs = lambda name, size: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
-    return both.groupBy(*keys).agg(F.max("n_words").alias("n_words"), merge_runs(runs("hit_words", "words"), "words").alias("hit_words"), merge_runs(runs("hit_bytes", "bytes"), "bytes").alias("hit_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-
-def merge_runs(runs, size: str):
-    """Sorted (first, size) runs with those that overlap or touch joined."""
-    one = lambda a, b: F.struct(a.alias("first"), b.alias(size))
-    kind = f"array<struct<first:bigint,{size}:bigint>>"
+    schema = extended(inner.select(*keys).schema, HITS)
+    sent = [spark.sparkContext.broadcast(windows_of(block, window)) for block in item_blocks(benchmark, item_col, item_text_col, max_items_bytes)]
+    if len(sent) < 2:
+        known = sent[0] if sent else None
+        return inner.mapInArrow(lambda it: scan(it, known.value if known else {}), schema)
+    # the rows' numbers are written with them, so that every scan sees the same ones
+    own = [f"k{i}" for i in range(len(keys))]
+    rows = stored(inner.toDF(*own, "text").withColumn("row", F.monotonically_increasing_id()))
+    found = hits_by_row(rows, sent)
+    counted = rows.select("row", *own, "text").mapInArrow(lambda it: scan(it, {}), extended(rows.select("row", *own).schema, HITS))
+    both = counted.select("row", *own, "n_words").join(found.drop("n_words"), "row", "left")
+    kinds = {f.name: f.dataType for f in schema.fields[-3:]}
+    hits = [F.coalesce(name, F.array().cast(kind)).alias(name) for name, kind in kinds.items()]
+    return both.select(*(F.col(c).alias(k) for c, k in zip(own, inner.columns[:-1], strict=True)), "n_words", *hits)
+
+
+def hits_by_row(rows: DataFrame, sent: list) -> DataFrame:
+    """row, n_words, hit_words, hit_bytes and items of the rows that any block of items hits; rows have a number and a text."""
+    schema = extended(rows.select("row").schema, HITS)
+    both = None
+    for known in sent:
+        part = rows.select("row", "text").mapInArrow(lambda it, known=known: scan(it, known.value), schema).filter(F.size("hit_words") > 0)
+        both = part if both is None else both.unionByName(part)
+    run = F.transform(F.arrays_zip("hit_words", "hit_bytes"), lambda x: F.struct(x["hit_words"]["first"].alias("first"), x["hit_words"]["words"].alias("words"), x["hit_bytes"]["first"].alias("at"), x["hit_bytes"]["bytes"].alias("bytes")))
+    grouped = both.withColumn("runs", run).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = grouped.withColumn("runs", merge_runs("runs"))
+    return merged.select(
+        "row",
+        "n_words",
+        F.transform("runs", lambda x: F.struct(x["first"].alias("first"), x["words"].alias("words"))).alias("hit_words"),
+        F.transform("runs", lambda x: F.struct(x["at"].alias("first"), x["bytes"].alias("bytes"))).alias("hit_bytes"),
+        "items",
+    )
+
+
+def merge_runs(runs):
+    """Sorted (first, words, at, bytes) runs with those whose words overlap or touch joined, bytes between them included."""
+
+    def joined(a, b):
+        words = F.greatest(a["first"] + a["words"], b["first"] + b["words"]) - a["first"]
+        size = F.greatest(a["at"] + a["bytes"], b["at"] + b["bytes"]) - a["at"]
+        return F.struct(a["first"].alias("first"), words.alias("words"), a["at"].alias("at"), size.alias("bytes"))
+
+    last = lambda done: F.element_at(done, -1)
     return F.aggregate(
         runs,
-        F.array().cast(kind),
+        F.array().cast("array<struct<first:bigint,words:bigint,at:bigint,bytes:bigint>>"),
         lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["first"] + F.element_at(done, -1)[size] >= x["first"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one(F.element_at(done, -1)["first"], F.greatest(F.element_at(done, -1)["first"] + F.element_at(done, -1)[size], x["first"] + x[size]) - F.element_at(done, -1)["first"]))),
-        ).otherwise(F.concat(done, F.array(one(x["first"], x[size])))),
+            (F.size(done) > 0) & (last(done)["first"] + last(done)["words"] >= x["first"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last(done), x))),
+        ).otherwise(F.concat(done, F.array(x))),
     )
 
 
