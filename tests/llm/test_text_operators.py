@@ -264,6 +264,28 @@ def test_spans_are_cut_out(spark):
     assert rows == {1: "Keep this. ! And " + " ".join(f"v{i}" for i in range(30)), 3: None, 4: "clean"}
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 60])
+def test_all_blocks_see_the_text_as_it_was(spark, limit):
+    a, b, own = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)], [f"v{i}" for i in range(30)]
+    text = " ".join
+    items = spark.createDataFrame([(1, text(a)), (2, text([*a[6:], *b[:6]])), (3, text(b)), (4, text([*own[:5], *own[20:25]]))], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, text([*own, *a, *b[:6], "end"]), "overlap"),
+            (1, text([*own, *a, *b[:6], "end"]), "overlap"),
+            (2, text([*own[:5], *a, *own[20:25], *own, *own]), "joined by the cut"),
+            (3, text([*own[:6], *a, *own[6:12], *b]), "half by each"),
+            (4, text([*own, "mid"]), None),
+            (None, None, "null"),
+        ],
+        "doc_id bigint, text string, items string",
+    )
+    rows = sorted((tuple(r) for r in decontaminate.remove_hits(docs, items, max_items_bytes=limit).collect()), key=key)
+    left = f"{text(own)}  end"
+    whole = text([*own[:5], "", *own[20:25], *own, *own])
+    assert rows == sorted([(1, left, "overlap"), (1, left, "overlap"), (2, whole, "joined by the cut"), (4, text([*own, "mid"]), None), (None, None, "null")], key=key)
+
+
 # BPE
 
 

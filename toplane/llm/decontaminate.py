@@ -177,35 +177,51 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, t
     document of which more than `max_share` of the words are hit is dropped.
     The columns are those of docs.
     """
-    schema = docs.schema
-    spark = docs.sparkSession
     names = docs.columns
-    out = docs
-    for block in item_blocks(benchmark, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), kw.get("max_items_bytes", MAX_ITEMS_BYTES)):
-        sent = spark.sparkContext.broadcast(windows_of(block, kw.get("window", WINDOW)))
-        out = out.mapInArrow(lambda it, sent=sent: _cut(it, sent.value, names, text_col, max_share), schema)
-    return out
+    benchmark_blocks = item_blocks(benchmark, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), kw.get("max_items_bytes", MAX_ITEMS_BYTES))
+    sent = [docs.sparkSession.sparkContext.broadcast(windows_of(block, kw.get("window", WINDOW))) for block in benchmark_blocks]
+    where = names.index(text_col)
+    if not sent:
+        return docs
+    if len(sent) == 1:
+        return docs.mapInArrow(lambda it: _scan_and_cut(it, sent[0].value, where, max_share), docs.schema)
+    # every block sees the text as it was; spans and shares are judged once, over all blocks' hits
+    own = [f"c{i}" for i in range(len(names))]
+    rows = stored(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()))
+    found = hits_by_row(rows.withColumnRenamed(own[where], "text"), sent)
+    both = rows.join(found, "row", "left").select(*own, "n_words", "hit_words", "hit_bytes")
+    return both.mapInArrow(lambda it: _cut_joined(it, names, where, max_share), docs.schema)
+
+
+def _scan_and_cut(batches: Iterator[pa.RecordBatch], windows: dict, where: int, max_share: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (found,) = scan(iter([pa.RecordBatch.from_arrays([batch.column(where)], names=["text"])]), windows)
+        yield _cut(batch, found, where, max_share)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], windows: dict, names: list[str], text_col: str, max_share: float) -> Iterator[pa.RecordBatch]:
-    where = names.index(text_col)
+def _cut_joined(batches: Iterator[pa.RecordBatch], names: list[str], where: int, max_share: float) -> Iterator[pa.RecordBatch]:
+    """As _scan_and_cut(), where n_words, hit_words and hit_bytes follow the columns; they are null for rows without a hit."""
     for batch in batches:
-        texts = batch.column(where)
-        (found,) = scan(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), windows)
-        hit, total, spans = found.column("hit_words").to_pylist(), found.column("n_words").to_pylist(), found.column("hit_bytes").to_pylist()
-        keep, cut = [], {}
-        for i, runs in enumerate(hit):
-            keep.append(sum(r["words"] for r in runs) <= max_share * total[i])
-            if runs and keep[-1]:
-                raw, at, left = texts[i].as_py().encode(), 0, []
-                for r in spans[i]:
-                    left.append(raw[at : r["first"]])
-                    at = r["first"] + r["bytes"]
-                cut[i] = b"".join([*left, raw[at:]]).decode()
-        if cut:
-            texts = pa.array([cut.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
-        columns = [texts if k == where else batch.column(k) for k in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+        n = len(names)
+        yield _cut(pa.RecordBatch.from_arrays(batch.columns[:n], names=names), pa.RecordBatch.from_arrays(batch.columns[n:], names=batch.schema.names[n:]), where, max_share)
+
+
+def _cut(batch: pa.RecordBatch, found: pa.RecordBatch, where: int, max_share: float) -> pa.RecordBatch:
+    texts = batch.column(where)
+    hit, total, spans = found.column("hit_words").to_pylist(), found.column("n_words").to_pylist(), found.column("hit_bytes").to_pylist()
+    keep, cut = [], {}
+    for i, runs in enumerate(hit):
+        keep.append(not runs or sum(r["words"] for r in runs) <= max_share * total[i])
+        if runs and keep[-1]:
+            raw, at, left = texts[i].as_py().encode(), 0, []
+            for r in spans[i]:
+                left.append(raw[at : r["first"]])
+                at = r["first"] + r["bytes"]
+            cut[i] = b"".join([*left, raw[at:]]).decode()
+    if cut:
+        texts = pa.array([cut.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
+    columns = [texts if k == where else batch.column(k) for k in range(batch.num_columns)]
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
