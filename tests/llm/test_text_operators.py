@@ -87,6 +87,18 @@ def test_secrets(spark, documents, odd, empty):
     assert secrets.find_secrets(empty, ["doc_id", "n_words"]).count() == 0
 
 
+def test_random_runs_of_any_length_and_of_letters_only(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n, of: "".join(of[i] for i in rng.integers(0, len(of), n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    runs = [draw(n, letters + "0123456789+/") for n in (512, 513, 1600, 100_000)] + [draw(n, letters) for n in (20, 40, 2000)] + [draw(22, letters) + "=="]
+    words = ["Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "getElementsByClassNameAndId", "x" * 5000, "=" * 600, "some/long/path/of/words/" * 40, "o" * 30 + "="]
+    texts = [f"é: {x} end" for x in [*runs, *words]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(secrets.find_secrets(docs, ["doc_id"]).select("doc_id", "spans").collect())
+    assert got == dict(enumerate([f"random:3:{3 + len(x)}" for x in runs] + [""] * len(words)))
+
+
 # language
 
 

@@ -5,12 +5,13 @@ assign  a name such as password or token, a sign, and a value of 8+ characters
 access  `AKIA[A-Z0-9]+` of 16+ characters
 hex     `[0-9a-f]+` of 32+ characters
 
-The method adds kind `random`: runs of `[A-Za-z0-9+/_=-]` of MIN_RANDOM to
-MAX_RANDOM characters with a letter and a digit that a tiktoken vocabulary
-encodes in fewer than MAX_RATIO characters a token.  Known digests (hex of the
-usual digest lengths, UUIDs) and identifiers (separated words, dates, version
-or host names, words with a short number) are left out, and so is a run that
-touches a base span.  Spans are in code points, end exclusive.
+The method adds kind `random`: runs of `[A-Za-z0-9+/_=-]` of MIN_RANDOM
+characters or more that a tiktoken vocabulary encodes, whole, in fewer than
+MAX_RATIO characters a token, and that have a letter and a digit or are a single
+run of letters.  Known digests (hex of the usual digest lengths, UUIDs) and
+identifiers (separated words, dates, version or host names, words with a short
+number) are left out, and so is a run that touches a base span.  Spans are in
+code points, end exclusive.
 
 Null is an empty text.  Ties at one start go by kind in the order above.
 Repeated rows each give a row; an empty table gives an empty one.
@@ -36,11 +37,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Fixed order of the kinds.
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RANDOM, MAX_RANDOM, MAX_RATIO = 20, 512, 2.2
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
+MIN_RANDOM, MAX_RATIO = 20, 2.2
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 #: Words or numbers joined by separators, or a word with a short number: names rather than random strings.
-IDENTIFIER = re.compile(r"(?:(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*|[A-Za-z]{2,}[0-9]{1,4}|[A-Za-z]+)\Z")
+IDENTIFIER = re.compile(r"(?:(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*|[A-Za-z]{2,}[0-9]{1,4})\Z")
+#: One run of letters, padded or not: whether it is a word or random, only the ratio can tell.
+LETTERS = re.compile(r"[A-Za-z]+=*\Z")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,7 +62,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encode, max_ratio
     out = []
     for m in RANDOM.finditer(text):
         run, a, b = m.group(), m.start(), m.end()
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or DIGEST.match(run) or IDENTIFIER.match(run):
+        if not LETTERS.match(run) and (not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or DIGEST.match(run) or IDENTIFIER.match(run)):
             continue
         if any(x < b and a < y for x, _, y in taken):
             continue
