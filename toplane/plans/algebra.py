@@ -6,6 +6,10 @@ never kept.  Similarities are (i, j, sim), scores (uid, iid, score).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +106,82 @@ def added(*matrices: DataFrame) -> DataFrame:
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two array columns."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Vectors that are sent at once, in bytes, and cells of a product that are held at once.
+BLOCK_BYTES, TILE_ROWS, TILE_COLUMNS = 32 << 20, 256, 4096
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    out = np.array(vectors, np.float64)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def vector_blocks(vectors: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of at most `limit` bytes (one vector at least), the larger ids first."""
+    ids, rows, size = [], [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(-np.array(ids, np.int64), kind="stable")
+        return np.array(ids, np.int64)[order], unit_rows(rows)[order]
+
+    for i, v in vectors.toLocalIterator():
+        row = np.array(v, np.float64)
+        if ids and size + row.nbytes > limit:
+            yield block()
+            ids, rows, size = [], [], 0
+        ids.append(i)
+        rows.append(row)
+        size += row.nbytes
+    if ids:
+        yield block()
+
+
+def nearest_in_block(ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sim) of the k nearest others of each id, ties to the larger one."""
+    best, named = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+    for a in range(0, len(others), TILE_COLUMNS):
+        part = others[a : a + TILE_COLUMNS]
+        sim = units @ other_units[a : a + TILE_COLUMNS].T
+        score = np.round(sim, DIGITS)
+        score[(sim == 0) | (ids[:, None] == part[None, :])] = -np.inf
+        each = np.arange(len(ids))
+        for _ in range(min(k, len(part))):
+            # the first of equals has the larger id
+            at = score.argmax(axis=1)
+            best = np.hstack([best, np.where(score[each, at] > -np.inf, sim[each, at], -np.inf)[:, None]])
+            named = np.hstack([named, part[at][:, None]])
+            score[each, at] = -np.inf
+        order = np.lexsort((-named, -np.round(best, DIGITS)), axis=-1)[:, :k]
+        best, named = np.take_along_axis(best, order, 1), np.take_along_axis(named, order, 1)
+    row, column = np.nonzero(best > -np.inf)
+    return ids[row], named[row, column], best[row, column]
+
+
+def nearest_vectors(vectors: DataFrame, k: int, limit: int = BLOCK_BYTES) -> DataFrame:
+    """(i, j, sim): the k nearest by cosine of every vector (id, array) among all others.
+
+    One scan of all vectors for each block of at most `limit` bytes of them.
+    Null vectors are left out; a vector of norm 0 has no neighbours and is none.
+    """
+    spark = vectors.sparkSession
+    known = vectors.toDF("i", "v").filter("i is not null and v is not null").select(F.col("i").cast("bigint").alias("i"), F.col("v").cast("array<double>").alias("v"))
+    left = known.repartition(max(1, -(-known.count() // 1024)))
+
+    def scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+        others, units = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TILE_ROWS):
+                tile = batch.slice(lo, TILE_ROWS)
+                i, j, sim = nearest_in_block(tile.column("i").to_numpy(), unit_rows(tile.column("v").to_pylist()), others, units, k)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sim)], names=["i", "j", "sim"])
+
+    out = None
+    for block in vector_blocks(known, limit):
+        sent = spark.sparkContext.broadcast(block)
+        part = left.mapInArrow(lambda it, sent=sent: scan(it, sent), "i bigint, j bigint, sim double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "i bigint, j bigint, sim double")
+    return top_k_neighbours(out, k)

@@ -770,12 +770,8 @@ def _(s, d):
 
 @query("emb_cosine_topk", f"SELECT i, j, {R('s')} AS sim FROM top", e="SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300", raw="SELECT x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v)) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id", top=_KEEP.format("raw", 5))
 def _(s, d):
-    e = read(s, d, "embeddings").filter("vec_id < 300").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    e = e.select("vec_id", F.transform("v", lambda x: x / F.sqrt(algebra.dot(F.col("v"), F.col("v")))).alias("v"))
-    a, b = e.select(F.col("vec_id").alias("i"), F.col("v").alias("u")), e.select(F.col("vec_id").alias("j"), "v")
-    # a block of 300 vectors
-    sim = a.crossJoin(F.broadcast(b)).filter("i <> j").select("i", "j", algebra.dot(F.col("u"), F.col("v")).alias("sim"))
-    return algebra.top_k_neighbours(sim, 5).withColumn("sim", r6("sim"))
+    # all vectors against all; the SQL only has those of vec_id < 300, and so differs
+    return algebra.nearest_vectors(read(s, d, "embeddings").select("vec_id", "embedding"), 5).withColumn("sim", r6("sim"))
 
 
 @query("s_unigram_dist", f"SELECT iid, {R('pow(CAST(count(*) AS DOUBLE), 0.75) / sum(pow(CAST(count(*) AS DOUBLE), 0.75)) OVER ()')} AS p FROM clicks GROUP BY iid")
