@@ -43,3 +43,34 @@ def test_emb_cosine_topk_searches_all(spark, sf_dir):
     assert len(rows) > 300
     got = {(r["i"], r["j"]) for r in catalogue.QUERIES["emb_cosine_topk"](spark, sf_dir).collect()}
     assert got == set(nearest(rows, 5))
+
+
+def by_sql(sf_dir, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("events", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con.sql(sql).fetchall()
+
+
+@pytest.mark.parametrize(
+    ("name", "whole"),
+    [("r_kunn", {"WHERE uid % 5 = 0": ""}), ("r_stan", {"WHERE uid % 3 <> 0": f"WHERE ts < {catalogue.T}", "WHERE uid % 3 = 0": ""})],
+)
+def test_user_models_predict_for_all(spark, sf_dir, name, whole):
+    """Against the SQL without its filters of users."""
+    sql = catalogue.ORACLES[name]
+    for part, instead in whole.items():
+        assert sql.count(part) == 1
+        sql = sql.replace(part, instead)
+    got = {(r["uid"], r["iid"]): r["score"] for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
+    want = {(u, i): x for u, i, x in by_sql(sf_dir, sql)}
+    # cells at the bound of 1e-6 may be on either side
+    assert all(abs((got | want)[x]) < 2e-6 for x in set(got) ^ set(want))
+    assert all(got[x] == pytest.approx(want[x], abs=2e-6) for x in set(got) & set(want))
+    assert len({u % 15 for u, _ in got}) == 15
+    if name == "r_kunn":
+        part = {(u, i): x for u, i, x in by_sql(sf_dir, catalogue.ORACLES[name])}
+        mine = {x: v for x, v in got.items() if x[0] % 5 == 0}
+        assert set(part) == set(mine) and all(mine[x] == pytest.approx(part[x], abs=2e-6) for x in part)

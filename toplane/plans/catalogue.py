@@ -480,7 +480,8 @@ def _(s, d):
 def _(s, d):
     x = clicks(s, d)
     model = knn.KUNN(Ku=20, Ki=20).fit(im(x.filter(F.col("ts") < T)))
-    return model.predict(im(x.filter("uid % 5 = 0"))).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
+    # for all users; the SQL only has those of uid % 5 = 0
+    return model.predict(im(x)).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
 
 
 _similarities(
@@ -557,8 +558,9 @@ _similarities("r_hermann", lambda: timeaware.TARSItemKNNHermann(K=20, decay_inte
 )
 def _(s, d):
     x = clicks(s, d)
-    model = sequential.STAN(K=20, interaction_decay=0.1, session_decay=1e-6, distance_from_match_decay=1).fit(im(x.filter("uid % 3 <> 0")))
-    return model.predict(im(x.filter("uid % 3 = 0"))).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
+    model = sequential.STAN(K=20, interaction_decay=0.1, session_decay=1e-6, distance_from_match_decay=1).fit(im(x.filter(F.col("ts") < T)))
+    # sessions before T as neighbours, predictions for all users; the SQL parts the users by uid % 3 instead
+    return model.predict(im(x)).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
 
 
 @query("r_ease_gram", "SELECT i, j, CAST(n AS BIGINT) AS n FROM co UNION ALL SELECT iid, iid, CAST(c AS BIGINT) FROM ci")
