@@ -1,6 +1,6 @@
 """A training-corpus pipeline: five operators in a row, each on what its predecessor kept.
 
-1 language ID: documents whose language can't be told go
+1 language ID: documents without a letter go (the scores and the `ambiguous` flag reject nothing)
 2 line dedup: lines that a source repeats over its documents are cut out
 3 n-gram Jaccard join: one document of each group of near copies stays
 4 benchmark decontamination: benchmark passages are cut out, documents made of them go
