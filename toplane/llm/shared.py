@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,10 +15,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is made only where none is set, as in tests."""
+    """The folder that the cluster shares; one is made only where none is set in a session of one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="toplane-"))
     return _own[0]
@@ -30,12 +33,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_by(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, Callable[[], None]]:
-    """As stored(), in buckets of a key: joins on the key move only their other side.  Call the second to forget the table's name once all that reads it is written."""
-    spark, name = df.sparkSession, f"toplane_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/toplane/{name}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
-    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") and None
+#: Bytes of the batches that go to Python workers, where the session names no other limit.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() in batches of a few MB, so that a worker's memory follows neither the rows of a partition nor their length."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bounded(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

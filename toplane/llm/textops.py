@@ -6,6 +6,7 @@ so that no Python string is made for a document.  A null text is an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,19 +112,52 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever they stand."""
+    """A 64-bit hash of the bytes of each span, the same wherever they stand.  It is a sum of powers: enough for
+    choosing places, not for telling long texts apart (see byte_hashes()).
+    """
     _, down = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 512
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span that is not linear in them: eight bytes at a time are mixed into
+    what went before, so texts made to agree in sums of powers (Thue-Morse strings) differ.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * U64(0xD6E8FEB86659FD93) + U64(seed))
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    live = np.flatnonzero(size <= LONG_SPAN)
+    done = 0
+    while True:
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        part = eight[starts[live] + done].view(np.uint64)[:, 0]
+        left = size[live] - done
+        short = left < 8
+        part[short] &= (U64(1) << (left[short].astype(np.uint64) * U64(8))) - U64(1)
+        out[live] = mix((out[live] ^ part) * U64(0x9FB21C651E98DF25))
+        done += 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words; one for each first word, n - 1 fewer than words."""
     if len(words) < n:
         return np.zeros(0, U64)
     out = np.zeros(len(words) - n + 1, U64)
     for k in range(n):
-        out = out * U64(BASE) + words[k : len(words) - n + 1 + k]
-    return mix(out)
+        out = mix(out * U64(BASE) + words[k : len(words) - n + 1 + k])
+    return out
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
