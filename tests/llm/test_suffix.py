@@ -1,5 +1,6 @@
 """The suffix-array dedup against counts of all strings, and the suffix order against a plain sort."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -60,6 +61,23 @@ def test_passages(spark, seed, length, size, max_blocks):
     assert found(docs, length=length, size=size, max_blocks=max_blocks) == plain(rows, length)
 
 
+def test_large_buckets_are_split(spark):
+    """One passage inside many texts: its anchors at the edges have a block for each text."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef") for _ in range(70))
+    own = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    rows = [(i, own(rng.randint(0, 60)) + passage[rng.randint(0, 5) :] + own(rng.randint(0, 60))) for i in range(60)]
+    rows += [(100 + i, r[1][: rng.randint(30, 120)]) for i, r in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (5, 20):
+        assert found(docs, length=40, size=12, max_blocks=most) == plain(rows, 40)
+
+
+def test_query(spark, sf_dir, documents):
+    rows = sorted(map(tuple, suffix.op3_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert rows == sorted((d, n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, n, gone, spans, kept in plain(rows_of(documents), 200))
+
+
 def test_small_batches(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH_BYTES", 500)
     rows = passages(5, 100)

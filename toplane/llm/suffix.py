@@ -16,8 +16,15 @@ of a difference-cover sample.  The cover {0, 1, 3} modulo 7 has, for any two
 positions, one shift below 7 that brings both into the sample; its ranks come
 beforehand by prefix doubling over the sample.  Neighbours in suffix order that
 agree on LENGTH bytes repeat.  Memory is bounded by the batch: a bucket of more
-than `max_blocks` distinct blocks is not gathered at all, its suffixes are
-counted by a digest of their LENGTH bytes instead, with map-side sums.
+than `max_blocks` distinct blocks is split by the bytes that come next to the
+anchor, into suffixes that hold so many of them before it and those that hold
+so many after it.  Parts that agree are one again, and what is still too large
+is split further, until a bucket's suffixes agree in all their bytes; then it
+has one part.
+
+Blocks are equal where a 64-bit hash of their anchor and one of their content
+agree; within a bucket, bytes are compared.  Long texts are taken whole, in
+pieces of one text at least.
 
 Null texts are empty; texts shorter than LENGTH keep all.  Repeated rows repeat
 each other.  Rows are known by (doc_id, hash of the text), so a null or repeated
@@ -26,7 +33,6 @@ doc_id is as good as another.  An empty table gives an empty one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, stored, table
+from toplane.llm.shared import extended, in_batches, stored, table
 from toplane.llm.textops import U64, chunks, mix, owners, prefix_hashes, powers, span_hashes
 
 LENGTH, ANCHOR = 200, 64
 PERIOD, COVER = 7, (0, 1, 3)
 #: Distinct blocks of a bucket that are sorted together, and block bytes of a batch of buckets.
-MAX_BLOCKS, BATCH_BYTES = 4000, 4 << 20
+MAX_BLOCKS, BATCH_BYTES = 2000, 1 << 20
 #: SHIFT[a, b]: the shift that brings positions a and b (modulo PERIOD) into the cover.
 SHIFT = np.array([[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
 
@@ -61,9 +67,9 @@ def anchors(data: np.ndarray, sums: np.ndarray, length: int, size: int) -> tuple
     return grams, (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
 
 
-def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start + 1, anchor's hash, block's hash) of the blocks; starts are places in data."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int, size: int, content: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start + 1, anchor's hash, block's hash, bytes from the first start to the anchor) of the blocks; starts are places in data."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     if len(data) < length:
         return none
     sums = prefix_hashes(data)
@@ -79,27 +85,46 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int, size: int) ->
         return none
     run = np.cumsum(new) - 1
     ends = np.bincount(run[whole], minlength=run[-1] + 1)[run[at]] + at
-    content = span_hashes(sums, at, ends + length - 1) + mix((anchor[at] - at).astype(np.uint64) * U64(0x632BE59BD9B4E019) + (ends - at).astype(np.uint64))
-    return doc[at], at, ends, grams[anchor[at]], content
+    away = anchor[at] - at
+    own = content_hashes(sums, at, ends + length - 1, away, ends - at) if content else np.zeros(0, np.uint64)
+    return doc[at], at, ends, grams[anchor[at]], own, away
+
+
+def content_hashes(sums: np.ndarray, first: np.ndarray, last: np.ndarray, away: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of the bytes of blocks, where their anchor is and how many starts they have."""
+    return span_hashes(sums, first, last) + mix(away.astype(np.uint64) * U64(0x632BE59BD9B4E019) + starts.astype(np.uint64))
 
 
-#: A block's first start and its number of starts share a long.
+#: A block's first start, how far its anchor is from there, and its number of starts share a long.
 PLACE_BITS = 20
 BLOCKS = "h bigint, bh bigint, at bigint"
 
 
+def find_anchors(inner: DataFrame, length: int, size: int) -> DataFrame:
+    """text → h, the anchors of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(blocks_of(data, offsets, length, size, False)[3].view(np.int64))], names=["h"])
+
+    return in_batches(inner.select("text"), run, "h bigint")
+
+
 def find_blocks(inner: DataFrame, length: int, size: int) -> DataFrame:
-    """row, text → row and the blocks: anchor h, content bh, at (first start in bytes << PLACE_BITS | starts)."""
+    """row, text → row and the blocks: anchor h, content bh, at (first start in bytes << PLACE_BITS | its distance to the anchor << 10 | starts)."""
+    if not 0 <= length - size < 1 << 10:
+        raise ValueError("length must be size or more, by less than 1024")
     schema = extended(inner.select("row").schema, BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in chunks(batch.column("text")):
-                doc, first, last, h, bh = blocks_of(data, offsets, length, size)
-                at = (first - offsets[doc]) << PLACE_BITS | (last - first)
+                doc, first, last, h, bh, away = blocks_of(data, offsets, length, size)
+                at = (first - offsets[doc]) << PLACE_BITS | away << 10 | (last - first)
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc + lo)), pa.array(h.view(np.int64)), pa.array(bh.view(np.int64)), pa.array(at)], names=schema.names)
 
-    return inner.select("row", "text").mapInArrow(run, schema)
+    return in_batches(inner.select("row", "text"), run, schema)
 
 
 def ranks(values: np.ndarray) -> np.ndarray:
@@ -160,8 +185,8 @@ def repeats_in(text: np.ndarray, offsets: np.ndarray, starts: np.ndarray, bucket
     out = np.zeros(len(starts), bool)
     steps = np.arange(length)
     pairs = np.flatnonzero(group[order[1:]] == group[order[:-1]])
-    for lo in range(0, len(pairs), 20_000):
-        at = pairs[lo : lo + 20_000]
+    for lo in range(0, len(pairs), 5_000):
+        at = pairs[lo : lo + 5_000]
         x, y = order[at], order[at + 1]
         same = at[(text[starts[x][:, None] + steps] == text[starts[y][:, None] + steps]).all(1)]
         out[order[same]] = out[order[same + 1]] = True
@@ -227,27 +252,61 @@ def sort_buckets(blocks: DataFrame, length: int) -> DataFrame:
         if kept:
             yield from work(kept)
 
-    return rows.mapInArrow(run, FOUND)
+    return in_batches(rows, run, FOUND)
+
 
+PART = "h bigint, bh bigint, lo int, h2 bigint, bh2 bigint, away int, starts int, bytes binary"
 
-def count_digests(blocks: DataFrame, length: int) -> DataFrame:
-    """As sort_buckets, for buckets too large to gather: each suffix counts under a digest of its bytes."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def split_blocks(blocks: DataFrame, length: int, size: int, least: int, most: int) -> DataFrame:
+    """Blocks (h, bh, away, starts, bytes), whose starts are `least` to `most` bytes before their anchor → their parts (see PART).
+
+    Starts near the anchor hold at least length - size - middle bytes after it,
+    the others more than `middle` bytes before it; these bytes make the part's bucket.
+    """
+    middle = (least + most) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h, bh, away, starts = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "bh", "away", "starts"))
             for lo, hi, data, offsets in chunks(batch.column("bytes")):
-                n = np.diff(offsets) - length + 1
-                owner = np.repeat(np.arange(hi - lo), n)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                at = offsets[owner] + inside
-                one = span_hashes(prefix_hashes(data), at, at + length)
-                two = span_hashes(prefix_hashes(data ^ np.uint8(0x5A)), at, at + length)
-                rows = pa.array(owner + lo)
-                yield pa.RecordBatch.from_arrays([batch.column("h").take(rows), batch.column("bh").take(rows), pa.array(inside.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["h", "bh", "lo", "d1", "d2"])
-
-    each = blocks.select("h", "bh", "bytes").mapInArrow(spread, "h bigint, bh bigint, lo int, d1 bigint, d2 bigint")
-    twice = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
-    return each.join(twice, ["d1", "d2"], "left_semi").select("h", "bh", "lo", (F.col("lo") + 1).alias("hi"))
+                sums = prefix_hashes(data)
+                anchor = offsets[:-1] + away[lo:hi]
+                far = np.clip(away[lo:hi] - middle, 0, starts[lo:hi])  # starts further away than the middle come first
+                for who, first, n, key in (
+                    (np.flatnonzero(far > 0), np.zeros(hi - lo, np.int64), far, lambda x: span_hashes(sums, anchor[x] - middle - 1, anchor[x]) ^ U64(1)),
+                    (np.flatnonzero(far < starts[lo:hi]), far, starts[lo:hi] - far, lambda x: span_hashes(sums, anchor[x] + size, anchor[x] + length - middle)),
+                ):
+                    at, count = offsets[who] + first[who], n[who]
+                    end, dist = at + count + length - 1, away[lo + who] - first[who]
+                    bucket = mix(key(who) + h[lo + who].view(np.uint64) * U64(0x9E3779B97F4A7C15))
+                    body = [data[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+                    columns = (h[lo + who], bh[lo + who], first[who].astype(np.int32), bucket.view(np.int64), content_hashes(sums, at, end, dist, count).view(np.int64), dist.astype(np.int32), count.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary())], names=["h", "bh", "lo", "h2", "bh2", "away", "starts", "bytes"])
+
+    return in_batches(blocks.select("h", "bh", "away", "starts", "bytes"), run, PART)
+
+
+def repeats_among(blocks: DataFrame, length: int, size: int, max_blocks: int, ranges: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """Distinct blocks (h, bh, away, starts, bytes) → FOUND, splitting buckets that are too large.  ranges: of the distances to the anchor, one for each kind of part."""
+    kinds = stored(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > max_blocks).select("h"))
+    if kinds.isEmpty():
+        return sort_buckets(blocks, length)
+    found = sort_buckets(blocks.join(kinds, "h", "left_anti"), length)
+    large = blocks.join(kinds, "h", "left_semi")
+    for least, most in ranges or ((0, length - size),):
+        # a bucket's starts all lie in one of the ranges
+        inside = large.filter((F.col("away") - F.col("starts") + 1 >= least) & (F.col("away") <= most)) if ranges else large
+        if least == most:
+            continue  # all bytes agree: such a bucket has one distinct block, and is never too large
+        parts = stored(split_blocks(inside, length, size, least, most))
+        equal = parts.groupBy("h2", "bh2").agg(F.count(F.lit(1)).alias("times"), F.first("starts").alias("hi")).filter("times > 1").select(F.col("h2").alias("h"), F.col("bh2").alias("bh"), F.lit(0).alias("lo"), "hi")
+        middle = (least + most) // 2
+        distinct = stored(parts.dropDuplicates(["h2", "bh2"]).select(F.col("h2").alias("h"), F.col("bh2").alias("bh"), "away", "starts", "bytes"))
+        below = repeats_among(distinct, length, size, max_blocks, ((least, middle), (middle + 1, most))).union(equal)
+        back = parts.select("h", "bh", F.col("lo").alias("at"), "h2", "bh2").join(below.toDF("h2", "bh2", "lo", "hi"), ["h2", "bh2"])
+        found = found.union(back.select("h", "bh", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
+    return found
 
 
 def repeated_spans(inner: DataFrame, length: int = LENGTH, size: int = ANCHOR, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -255,44 +314,46 @@ def repeated_spans(inner: DataFrame, length: int = LENGTH, size: int = ANCHOR, m
 
     `row` is a hash of (doc_id, text).
     """
-    blocks = find_blocks(inner, length, size)
     # counts are combined before they move; the join's hot anchors are split by adaptive execution
-    often = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    repeats = stored(blocks.join(often, "h").select("row", "h", "bh", "at"))
+    often = find_anchors(inner, length, size).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    repeats = stored(find_blocks(inner, length, size).join(often, "h").select("row", "h", "bh", "at"))
     kinds = stored(repeats.groupBy("h", "bh").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one")))
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(mixed, "h").groupBy("one.row").agg(F.collect_list(F.struct("h", "bh", "kinds", "one.at")).alias("wanted"))
-    body = cut_out(inner.join(wanted, "row").select(*inner.columns, "wanted"), length).dropDuplicates(["h", "bh"])
-    few = sort_buckets(body.filter(F.col("kinds") <= max_blocks), length)
-    many = count_digests(body.filter(F.col("kinds") > max_blocks), length)
+    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+    wanted = kinds.join(mixed, "h").groupBy("one.row").agg(F.collect_list(F.struct("h", "bh", "one.at")).alias("wanted"))
+    body = stored(cut_out(inner.join(wanted, "row").select(*inner.columns, "wanted"), length).dropDuplicates(["h", "bh"]))
     equal = kinds.filter("times > 1").select("h", "bh", F.lit(0).alias("lo"), starts_of(F.col("one.at")).cast("int").alias("hi"))
-    found = few.union(many).union(equal).groupBy("h", "bh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = repeats_among(body, length, size, max_blocks).union(equal).groupBy("h", "bh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     first = F.shiftright("at", PLACE_BITS)
     return repeats.join(found, ["h", "bh"]).select("row", first.alias("first"), F.explode("spans").alias("s")).select("row", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"))
 
 
 def starts_of(at):
-    return at.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return at.bitwiseAND(F.lit((1 << 10) - 1))
 
 
 def cut_out(cut: DataFrame, length: int) -> DataFrame:
-    """(wanted blocks, text) → h, bh, kinds, starts, bytes."""
+    """(wanted blocks, text) → h, bh, away, starts, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, bh, kinds, starts, body = [], [], [], [], []
-            for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
+            rows, size = [], 0
+            for wanted, text in zip(batch.column("wanted"), batch.column("text"), strict=True):
                 raw = (text.as_py() or "").encode()
-                for w in wanted:
-                    first, n = w["at"] >> PLACE_BITS, w["at"] & (1 << PLACE_BITS) - 1
-                    h.append(w["h"])
-                    bh.append(w["bh"])
-                    kinds.append(w["kinds"])
-                    starts.append(n)
-                    body.append(raw[first : first + n + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(bh, pa.int64()), pa.array(kinds, pa.int64()), pa.array(starts, pa.int32()), pa.array(body, pa.binary())], names=["h", "bh", "kinds", "starts", "bytes"])
+                for w in wanted.as_py():
+                    first, away, n = w["at"] >> PLACE_BITS, w["at"] >> 10 & (1 << 10) - 1, w["at"] & (1 << 10) - 1
+                    rows.append((w["h"], w["bh"], away, n, raw[first : first + n + length - 1]))
+                    size += n + length
+                if size >= BATCH_BYTES:
+                    yield cut_rows(rows)
+                    rows, size = [], 0
+            yield cut_rows(rows)
 
-    return cut.mapInArrow(run, "h bigint, bh bigint, kinds bigint, starts int, bytes binary")
+    return in_batches(cut, run, "h bigint, bh bigint, away int, starts int, bytes binary")
+
+
+def cut_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns, kinds = list(zip(*rows, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["h", "bh", "away", "starts", "bytes"])
 
 
 def merged(spans: list[dict], length: int) -> list[list[int]]:
@@ -329,7 +390,7 @@ def remove_repeats(docs: DataFrame, keys: list[str], id_col: str = "doc_id", tex
                 kept.append(b"".join([*left, raw[at:]]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))), pa.array(kept, pa.binary())], names=schema.names)
 
-    out = both.mapInArrow(run, schema)
+    out = in_batches(both, run, schema)
     return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "n_bytes", "removed", "kept")
 
 
@@ -337,7 +398,3 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["bytes"])
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def digest(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
