@@ -121,6 +121,48 @@ def test_language_of_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_the_code_corrects_a_bit_and_flags_more(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs, language.fold("doc_id", 5) != 0)
+    assert len(model.languages) == 4 and model.radius == 1
+    signs = 2.0 * model.code - 1
+    for k in range(4):
+        assert model.decode(9 * signs[k : k + 1])[0] == k and not model.decode(9 * signs[k : k + 1])[2]
+        for i in range(signs.shape[1]):
+            one = 9 * signs[k : k + 1].copy()
+            one[0, i] *= -0.2
+            assert model.decode(one)[0] == k and not model.decode(one)[2]
+            two = one.copy()
+            two[0, i - 1] *= -0.2
+            assert model.decode(two)[2]
+
+
+def test_language_against_a_plain_decoder(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs, language.fold("doc_id", 5) != 0)
+    counts = defaultdict(Counter)
+    grams = lambda t: [low[i : i + 3] for low in [b" " + bytes(language.PLAIN[np.frombuffer(t.encode(), np.uint8)]) + b" "] for i in range(len(low) - 2)]
+    slot = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> (32 - language.TABLE_BITS)
+    rows = docs.collect()
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["text"] is not None and r["lang"] is not None:
+            counts[r["lang"]].update(map(slot, grams(r["text"])))
+    langs = sorted(counts)
+    for r in language.identify(docs, model, ["doc_id", "text"]).collect():
+        if r["lang_pred"] == "und":
+            continue
+        n = np.sqrt(len(r["text"].encode()))
+        margin = np.zeros(model.code.shape[1])
+        for g in map(slot, grams(r["text"])):
+            for b in range(len(margin)):
+                share = [np.mean([counts[x][g] / counts[x].total() for k, x in enumerate(langs) if model.code[k, b] == bit]) for bit in (1, 0)] if len(r["text"]) < 400 else None
+                if share:
+                    margin[b] += np.log((share[0] + 1e-6) / (share[1] + 1e-6)) / n
+        if len(r["text"]) < 400:
+            loss = [sum(w * np.logaddexp(0, -m * (2 * c - 1)) for w, m, c in zip(model.weight, margin, code, strict=True)) for code in model.code]
+            assert langs[int(np.argmin(loss))] == r["lang_pred"]
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 5, 6, 12):
         code = language.codewords(k)
@@ -160,6 +202,7 @@ def test_automaton_accepts_what_is_near():
 
 def test_quotation_is_apart():
     lexicon = toxicity.Lexicon({"moron": 2.0})
+    assert toxicity.features('the word "moron" is rude', lexicon)[4:] == [0, 0, 0]
     abuse, quoted = toxicity.features("you are a moron", lexicon), toxicity.features('the word "moron" is rude', lexicon)
     assert abuse[1] > 0 and not abuse[3] and quoted[3] > 0 and not quoted[1]
 
@@ -176,6 +219,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.5 * len(toxic)
 
 
+def test_quoted_words_are_no_abuse(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon, weights = toxicity.learn(docs, labels, language.fold("doc_id", 3) != 1)
+    quoted = 'Some people think that the word "{0}" is rude, and nobody here wants to read it.'
+    abuse = "Everyone can see that you are a {0}, and nobody here wants to hear from you."
+    made = spark.createDataFrame([(i, text.format(w), k) for i, w in enumerate(("idiot", "moron", "stupid")) for k, text in ((0, quoted), (1, abuse))], "doc_id bigint, text string, kind int")
+    for r in toxicity.score(made, lexicon, weights, ["doc_id", "kind", "text"]).collect():
+        assert r["predicted"] == r["kind"], r
+
+
 def test_toxicity_of_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(1, 0), (5, 1), (5, 1), (6, None), (None, 1), (99, 0)], "doc_id bigint, toxic int")
     lexicon, weights = toxicity.learn(odd, labels, language.fold("doc_id", 3) >= 0)
@@ -245,9 +299,9 @@ def plain_hits(texts, items):
 def test_decontamination(spark, documents, odd, empty, sf_dir, limit):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "one two"), (901, None), (902, "..."), (903, PARA), (904, PARA)], "item_id bigint, text string"))
     for docs in both(documents, odd):
-        found = decontaminate.find_hits(docs.dropDuplicates(["doc_id"]) if limit < 1 << 26 else docs, items, ["doc_id"], max_items_bytes=limit)
+        found = decontaminate.find_hits(docs, items, ["doc_id"], max_items_bytes=limit)
         got = [(r["doc_id"], r["n_words"], sum(x["words"] for x in r["hit_words"]), len(r["items"]), sha(",".join(r["items"])), bool(r["hit_words"])) for r in found.collect()]
-        texts = [(r["doc_id"], r["text"]) for r in (docs.dropDuplicates(["doc_id"]) if limit < 1 << 26 else docs).collect()]
+        texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
         assert sorted(got, key=key) == sorted(plain_hits(texts, [tuple(r) for r in items.collect()]), key=key)
     assert decontaminate.find_hits(empty, items, ["doc_id"]).count() == 0
     assert decontaminate.find_hits(odd, items.limit(0), ["doc_id"]).filter("size(items) > 0").count() == 0
@@ -298,6 +352,53 @@ def test_all_blocks_see_the_text_as_it_was(spark, limit):
     assert rows == sorted([(1, left, "overlap"), (1, left, "overlap"), (2, whole, "joined by the cut"), (4, text([*own, "mid"]), None), (None, None, "null")], key=key)
 
 
+def test_query_columns(spark, sf_dir, documents):
+    """The queries' digests, from plain versions."""
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    texts = sorted((r["doc_id"], r["text"]) for r in documents.collect())
+    rows = decontaminate.op7_decontaminate(spark, sf_dir).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, rows)) == sorted(plain_hits(texts, items))
+    rows = secrets.op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    want = []
+    for i, text in texts:
+        spans = plain_secrets(text)
+        want.append((i, *(sum(x[3] == k for x in spans) for k in ("assign", "access", "hex")), sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans))))
+    assert sorted(map(tuple, rows)) == want
+    rows = quality.op9_quality(spark, sf_dir).collect()
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in rows) == [(i, *plain_quality(x)) for i, x in texts]
+    assert all(not (r["base_failed"] and r["kept"]) for r in rows)
+    encode = token_counts.encoding().encode_ordinary
+    lengths = [len(encode(x or "")) for _, x in texts]
+    for r in token_counts.op1_token_counts(spark, sf_dir).collect():
+        assert r["share_at_most"] == sum(x <= r["n_tokens"] for x in lengths) / len(lengths)
+    for name, folds, held in (("op4", 5, 0), ("op5", 3, 1)):
+        rows = (language.op4_language_id if name == "op4" else toxicity.op5_toxicity)(spark, sf_dir).collect()
+        assert [r["held_out"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [zlib.crc32(str(i).encode()) % folds == held for i, _ in texts]
+        assert all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_keys_named_like_columns_of_ours(odd):
+    """Keys may be the text itself, or bear an operator's own names."""
+    docs = odd.selectExpr("doc_id as row", "text", "lang as items", "source as host", "n_chars as key_0", "n_words as spans")
+    n, keys = odd.count(), ["row", "text", "items", "key_0", "spans", "host"]
+    items = odd.sparkSession.createDataFrame([(1, PARA)], "item_id bigint, text string")
+    model = language.learn(odd, language.fold("doc_id", 5) >= 0)
+    for out in (
+        token_counts.with_lengths(docs, keys),
+        secrets.find_secrets(docs, keys),
+        language.identify(docs, model, keys),
+        toxicity.score(docs, toxicity.Lexicon({}), None, keys),
+        decontaminate.find_hits(docs, items, keys),
+        decontaminate.find_hits(docs, items.union(items), keys, max_items_bytes=10),
+        bpe.digests(docs, keys),
+        quality.judge(docs, keys, host_col="host"),
+    ):
+        rows = out.collect()
+        assert len(rows) == n and out.columns[: len(keys)] == keys
+        assert {(r[0], r[1]) for r in rows} == {(r["row"], r["text"]) for r in docs.collect()}
+
+
 # BPE
 
 
@@ -346,15 +447,64 @@ def test_quality(documents, odd, empty):
     assert quality.judge(empty, ["doc_id"]).count() == 0
 
 
-def test_host_rates_are_shrunk(spark):
-    rows = [("bad", True)] * 50 + [("good", i == 0) for i in range(50)] + [("new", True)] + [(f"h{i}", False) for i in range(20) for _ in range(10)] + [(f"m{i}", k < i) for i in range(10) for k in range(10)]
-    out = {r["host"]: r for r in quality.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean"), "host").collect()}
-    n = Counter(h for h, _ in rows)
-    bad = Counter(h for h, f in rows if f)
-    raw = np.array([bad[h] / n[h] for h in n])
-    mean, variance = raw.mean(), raw.var(ddof=1)
-    weight = mean * (1 - mean) / variance - 1
-    assert weight > 0
+def thue_morse(bits, a, b):
+    out = a
+    for _ in range(bits):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+@pytest.mark.parametrize("bits", [10, 13])
+def test_lines_made_to_collide_in_sums_of_powers(spark, bits):
+    x, y = thue_morse(bits, "a", "b"), thue_morse(bits, "b", "a")
+    texts = [f"{x}\n{y}", f"{x}\n{y}\n{x}", f"{x} 1 2 3 4 5 6 7 {y} 1 2 3 4 5 6 7", f"{x} 1 2 3 4 5 6 7 {x} 1 2 3 4 5 6 7"]
+    rows = quality.document_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()
+    assert sorted(map(tuple, rows)) == [(i, *plain_quality(x)) for i, x in enumerate(texts)]
+
+
+def plain_verdicts(rows):
+    """Hosts that stay, for rows of (host, failures by rule)."""
+    n, rules = Counter(h for h, _ in rows), len(rows[0][1])
+    bad = {h: [sum(f[i] for g, f in rows if g == h) for i in range(rules)] for h in n}
+    out = {}
     for h in n:
-        assert out[h]["rate"] == pytest.approx((bad[h] + mean * weight) / (n[h] + weight))
-    assert not out["bad"]["host_kept"] and out["good"]["host_kept"]
+        ok, rates = True, []
+        for i in range(rules):
+            raw = np.array([bad[g][i] / n[g] for g in n])
+            mean, variance = raw.mean(), raw.var(ddof=1)
+            weight = mean * (1 - mean) / variance - 1 if variance > 1e-12 and mean * (1 - mean) > variance else quality.PRIOR_WEIGHT
+            rates.append((bad[h][i] + mean * weight) / (n[h] + weight))
+            rest = np.array([bad[g][i] / n[g] for g in n if g != h])
+            limit = min(quality.MOST_LIMIT, max(quality.LEAST_LIMIT, rest.mean() + quality.DEVIATIONS * rest.std(ddof=1)))
+            ok &= rates[-1] <= limit
+        out[h] = (ok, rates)
+    return out
+
+
+def test_hosts_are_judged_by_each_rule(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    texts = {"base": "too few words", "symbols": good + " #" * 5, "lengths": " ".join(a + b for a in "abcde" for b in "uvwxyz"), "lines": good + "\nsame" * 6}
+    docs, fails = [], []
+
+    def add(host, rule):
+        docs.append((len(docs), texts.get(rule, good), host))
+        fails.append((host, [k == rule for k in quality.RULES]))
+
+    for rule in quality.RULES:
+        for i in range(40):
+            add(f"bad {rule}", rule if i < 30 else None)
+    for h in range(16):
+        for i in range(25):
+            add(f"h{h}", list(quality.RULES)[i] if i < h % 4 else None)
+    add("new", "base")
+    add(None, None)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    want = plain_verdicts(fails)
+    rows = quality.judge(frame, ["doc_id"]).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        host = docs[r["doc_id"]][2]
+        assert r["host_rates"] == pytest.approx(want[host][1])
+        assert r["kept"] == (want[host][0] and not fails[r["doc_id"]][1][0])
+    assert {h for h, (ok, _) in want.items() if not ok} >= {f"bad {rule}" for rule in quality.RULES}
+    assert all(want[f"h{h}"][0] for h in range(16))

@@ -5,10 +5,10 @@ pieces; a piece's bytes are a doubly linked list of symbols, and a priority queu
 holds (rank, position) of the merges that its neighbours allow.  The lowest
 rank is merged first, leftmost among equals; an entry whose symbols have
 changed since is stale and skipped.  Pieces repeat, so each process keeps a
-bounded table of those it has encoded.  Decoding concatenates the vocabulary's
+table of those it has encoded, bounded in entries and in the length of each.  Decoding concatenates the vocabulary's
 byte strings and reads them as UTF-8, with U+FFFD for what is not.
 
-A null text is empty and gives no tokens.  Repeated rows each give a row; an
+A null text is empty and gives no tokens; a long one is encoded whole.  Repeated rows each give a row; an
 empty table gives an empty one.
 """
 
@@ -22,9 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, in_batches, keyed, named, table
 from toplane.llm.token_counts import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -148,7 +147,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
             ids = pa.array([own.encode(x.as_py() or "") for x in batch.column(where)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, text_col: str = "decoded") -> DataFrame:
@@ -162,26 +161,26 @@ def decode(docs: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY,
             texts = pa.array([own.decode(x.as_py() or []) for x in batch.column(where)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def digests(docs: DataFrame, keys: list[str], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The key columns of each row, n_tokens, ids_sha256 and decoded_sha256; ids and texts stay where they are made."""
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    inner, names, where = keyed(docs, keys, text_col)
+    schema = extended(inner.select(*names).schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
             n, ids, texts = [], [], []
-            for x in batch.column("text"):
+            for x in batch.column(where):
                 parts = own.parts(x.as_py() or "")
                 n.append(sum([p[0] for p in parts]))
                 ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                 texts.append(hashlib.sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return named(in_batches(inner, run, schema), names, keys, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,63 +2,98 @@
 
 Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z became lower
 case.  A window is ten consecutive words of an item; an item with fewer words,
-but not none, is one window.  The set of windows is broadcast only while the
-test items' own text is below `max_items_bytes`; larger benchmarks go in blocks
-of items, one scan of the documents for each block, and the blocks' hits are
-brought together by a number that each row is given and stored with.  A window that the set knows is verified word for word.
-
-Nulls and empty texts have no words: no hit.  Repeated rows each give a row.
-Items that are equal in text all count.  An empty benchmark hits nothing.
+but not none, is one window.  The windows of `max_items_bytes` of item text are
+one broadcast (20 bytes a window, and the items' words); a larger benchmark goes
+in blocks, one scan of the documents for each, whose hits are written before the
+next block is read.  Every block sees the documents' own texts, and the hits are
+brought together by a number that each row is given and stored with.  A window
+that the set knows is verified byte for byte.
+
+Nulls and empty texts have no words: no hit.  Long texts are scanned whole.
+Repeated rows each give a row, whatever their keys.  Items that are equal in
+text all count; so does an item without an id, under the id `null`.  An empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, stored, table
-from toplane.llm.textops import LOWER, NORMAL_WORD, chunks, gram_hashes, prefix_hashes, segments, span_hashes
+from toplane.llm.shared import extended, in_batches, keyed, named, stored, table
+from toplane.llm.textops import LOWER, NORMAL_WORD, byte_hashes, chunks, gram_hashes, segments
 
 WINDOW = 10
 #: Above this many bytes of item text, the items go in blocks of that size.
-MAX_ITEMS_BYTES = 64 << 20
+MAX_ITEMS_BYTES = 8 << 20
 #: What a scan adds to the key columns.
 HITS = "n_words bigint, hit_words array<struct<first:bigint,words:bigint>>, hit_bytes array<struct<first:bigint,bytes:bigint>>, items array<string>"
 
 
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, dict]:
-    """By length in words: sorted window hashes, and for each hash its word bytes and items."""
-    out: dict[int, dict] = {}
-    for item, text in items:
+class Windows(NamedTuple):
+    """Windows of one length in words: their hashes in order, the item of each, and where its words lie in `words` (a space between two)."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    words: bytes
+    items: list[str]
+
+    def found(self, h: int, words: bytes) -> set[str]:
+        """The items that hold a window of these words."""
+        at = int(np.searchsorted(self.hashes, np.uint64(h)))
+        out = set()
+        while at < len(self.hashes) and int(self.hashes[at]) == h:
+            if self.words[self.first[at] : self.last[at]] == words:
+                out.add(self.items[self.item[at]])
+            at += 1
+        return out
+
+
+def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, Windows]:
+    """By length in words."""
+    made: dict[int, list] = {}
+    texts, size = [], 0
+    for k, (_, text) in enumerate(items):
         raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
         starts, ends, _ = segments(raw, np.array([0, len(raw)]), NORMAL_WORD)
         if not len(starts):
             continue
         n = min(window, len(starts))
-        words = [raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        found = out.setdefault(n, {})
-        for i, h in enumerate(gram_hashes(span_hashes(prefix_hashes(raw), starts, ends), n).tolist()):
-            found.setdefault(h, {}).setdefault(b" ".join(words[i : i + n]), set()).add(str(item))
+        grams = gram_hashes(byte_hashes(raw, starts, ends), n)
+        lengths = ends - starts
+        first = size + np.cumsum(lengths + 1) - lengths - 1
+        made.setdefault(n, []).append((grams, np.full(len(grams), k, np.int32), first[: len(grams)], (first + lengths)[n - 1 :]))
+        texts.append(b" ".join(raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)) + b" ")
+        size += len(texts[-1])
+    words, names = b"".join(texts), ["null" if i is None else str(i) for i, _ in items]
+    out = {}
+    for n, parts in made.items():
+        hashes, item, first, last = map(np.concatenate, zip(*parts, strict=True))
+        by = np.argsort(hashes, kind="stable")
+        out[n] = Windows(hashes[by], item[by], first[by].astype(np.int32), last[by].astype(np.int32), words, names)
     return out
 
 
-def scan(batches: Iterator[pa.RecordBatch], windows: dict[int, dict]) -> Iterator[pa.RecordBatch]:
-    """key columns, text → key columns, n_words, hit words as runs (first word, words), hit bytes as runs, items."""
-    known = {n: np.array(sorted(found), np.uint64) for n, found in windows.items()}
+def scan(batches: Iterator[pa.RecordBatch], windows: dict[int, Windows], keys: int = 0, where: int = 0) -> Iterator[pa.RecordBatch]:
+    """`keys` columns, with a text at `where` → these columns, n_words, hit words as runs (first word, words), hit bytes as runs, items."""
+    known = {n: found.hashes for n, found in windows.items()}
     small = {n: np.zeros(1 << 20, bool) for n in known}
     for n, hashes in known.items():
         small[n][(hashes >> np.uint64(44)).astype(np.int64)] = True
     for batch in batches:
         n_words, runs, spans, items = [], [], [], []
-        for lo, hi, data, offsets in chunks(batch.column("text")):
+        for lo, hi, data, offsets in chunks(batch.column(where)):
             raw = LOWER[data]
             starts, ends, at = segments(raw, offsets, NORMAL_WORD)
-            words = span_hashes(prefix_hashes(raw), starts, ends)
+            words = byte_hashes(raw, starts, ends)
             n_words += np.diff(at).tolist()
             hits: dict[int, list] = {}
             for n, hashes in known.items():
@@ -69,7 +104,7 @@ def scan(batches: Iterator[pa.RecordBatch], windows: dict[int, dict]) -> Iterato
                 doc = np.searchsorted(at, maybe, "right") - 1
                 fits = maybe + n <= at[doc + 1]
                 for i, d in zip(maybe[fits].tolist(), doc[fits].tolist(), strict=True):
-                    found = windows[n][int(grams[i])].get(b" ".join(raw[starts[k] : ends[k]].tobytes() for k in range(i, i + n)))
+                    found = windows[n].found(int(grams[i]), b" ".join(raw[starts[k] : ends[k]].tobytes() for k in range(i, i + n)))
                     if found:
                         hits.setdefault(d, []).append((i, i + n, found))
             for d in range(hi - lo):
@@ -83,16 +118,15 @@ def scan(batches: Iterator[pa.RecordBatch], windows: dict[int, dict]) -> Iterato
                 runs.append([{"first": int(a - at[d]), "words": int(b - a)} for a, b in merged])
                 spans.append([{"first": int(starts[a] - offsets[d]), "bytes": int(ends[b - 1] - starts[a])} for a, b in merged])
                 items.append(sorted(set().union(*(x for _, _, x in mine))) if mine else [])
-        keys = [batch.column(k) for k in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays(
             [
-                *keys,
+                *(batch.column(k) for k in range(keys)),
                 pa.array(n_words, pa.int64()),
                 pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))),
                 pa.array(items, pa.list_(pa.string())),
             ],
-            names=[*batch.schema.names[:-1], "n_words", "hit_words", "hit_bytes", "items"],
+            names=[*batch.schema.names[:keys], "n_words", "hit_words", "hit_bytes", "items"],
         )
 
 
@@ -116,30 +150,31 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col:
     hit_words and hit_bytes are the merged runs of hit words (in words, and in
     bytes of the text's UTF-8); items the ids of the items that occur.
     """
-    spark = docs.sparkSession
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, HITS)
-    sent = [spark.sparkContext.broadcast(windows_of(block, window)) for block in item_blocks(benchmark, item_col, item_text_col, max_items_bytes)]
-    if len(sent) < 2:
-        known = sent[0] if sent else None
-        return inner.mapInArrow(lambda it: scan(it, known.value if known else {}), schema)
+    inner, names, where = keyed(docs, keys, text_col)
+    n, hits = len(keys), ["n_words", "hit_words", "hit_bytes", "items"]
+    blocks = item_blocks(benchmark, item_col, item_text_col, max_items_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(windows_of(first or [], window))
+        return named(in_batches(inner, lambda it: scan(it, sent.value, n, where), extended(inner.select(*names).schema, HITS)), names, keys, *hits)
     # the rows' numbers are written with them, so that every scan sees the same ones
-    own = [f"k{i}" for i in range(len(keys))]
-    rows = stored(inner.toDF(*own, "text").withColumn("row", F.monotonically_increasing_id()))
-    found = hits_by_row(rows, sent)
-    counted = rows.select("row", *own, "text").mapInArrow(lambda it: scan(it, {}), extended(rows.select("row", *own).schema, HITS))
-    both = counted.select("row", *own, "n_words").join(found.drop("n_words"), "row", "left")
-    kinds = {f.name: f.dataType for f in schema.fields[-3:]}
-    hits = [F.coalesce(name, F.array().cast(kind)).alias(name) for name, kind in kinds.items()]
-    return both.select(*(F.col(c).alias(k) for c, k in zip(own, inner.columns[:-1], strict=True)), "n_words", *hits)
-
-
-def hits_by_row(rows: DataFrame, sent: list) -> DataFrame:
-    """row, n_words, hit_words, hit_bytes and items of the rows that any block of items hits; rows have a number and a text."""
+    rows = stored(inner.withColumn("row", F.monotonically_increasing_id()))
+    text = rows.columns[where]
+    found = hits_by_row(rows.select("row", F.col(text).alias("text")), chain([first, second], blocks), window)
+    counted = in_batches(rows.select("row", *names, F.col(text).alias("of")), lambda it: scan(it, {}, n + 1, n + 1), extended(rows.select("row", *names).schema, HITS)).select("row", *names, "n_words")
+    both = counted.join(found.drop("n_words"), "row", "left")
+    some = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in hits[1:]]
+    return named(both, names, keys, "n_words", *some)
+
+
+def hits_by_row(rows: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """row, n_words, hit_words, hit_bytes and items of the rows (row, text) that any block of items hits.  One block is in memory at a time."""
     schema = extended(rows.select("row").schema, HITS)
     both = None
-    for known in sent:
-        part = rows.select("row", "text").mapInArrow(lambda it, known=known: scan(it, known.value), schema).filter(F.size("hit_words") > 0)
+    for block in blocks:
+        sent = rows.sparkSession.sparkContext.broadcast(windows_of(block, window))
+        part = stored(in_batches(rows, lambda it, sent=sent: scan(it, sent.value, 1, 1), schema).filter(F.size("hit_words") > 0))
+        sent.destroy()
         both = part if both is None else both.unionByName(part)
     run = F.transform(F.arrays_zip("hit_words", "hit_bytes"), lambda x: F.struct(x["hit_words"]["first"].alias("first"), x["hit_words"]["words"].alias("words"), x["hit_bytes"]["first"].alias("at"), x["hit_bytes"]["bytes"].alias("bytes")))
     grouped = both.withColumn("runs", run).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -178,24 +213,26 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, t
     The columns are those of docs.
     """
     names = docs.columns
-    benchmark_blocks = item_blocks(benchmark, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), kw.get("max_items_bytes", MAX_ITEMS_BYTES))
-    sent = [docs.sparkSession.sparkContext.broadcast(windows_of(block, kw.get("window", WINDOW))) for block in benchmark_blocks]
+    window = kw.get("window", WINDOW)
+    blocks = item_blocks(benchmark, kw.get("item_col", "item_id"), kw.get("item_text_col", "text"), kw.get("max_items_bytes", MAX_ITEMS_BYTES))
     where = names.index(text_col)
-    if not sent:
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         return docs
-    if len(sent) == 1:
-        return docs.mapInArrow(lambda it: _scan_and_cut(it, sent[0].value, where, max_share), docs.schema)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(windows_of(first, window))
+        return in_batches(docs, lambda it: _scan_and_cut(it, sent.value, where, max_share), docs.schema)
     # every block sees the text as it was; spans and shares are judged once, over all blocks' hits
     own = [f"c{i}" for i in range(len(names))]
     rows = stored(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()))
-    found = hits_by_row(rows.withColumnRenamed(own[where], "text"), sent)
+    found = hits_by_row(rows.select("row", F.col(own[where]).alias("text")), chain([first, second], blocks), window)
     both = rows.join(found, "row", "left").select(*own, "n_words", "hit_words", "hit_bytes")
-    return both.mapInArrow(lambda it: _cut_joined(it, names, where, max_share), docs.schema)
+    return in_batches(both, lambda it: _cut_joined(it, names, where, max_share), docs.schema)
 
 
 def _scan_and_cut(batches: Iterator[pa.RecordBatch], windows: dict, where: int, max_share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        (found,) = scan(iter([pa.RecordBatch.from_arrays([batch.column(where)], names=["text"])]), windows)
+        (found,) = scan(iter([batch]), windows, 0, where)
         yield _cut(batch, found, where, max_share)
 
 
@@ -228,7 +265,3 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda a, x: a + x["words"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

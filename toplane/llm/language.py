@@ -5,13 +5,16 @@ the languages with a 1 from those with a 0 by the mean log-odds of a text's
 byte trigrams (hashed, lower case, other than letters as spaces).  Decoding
 weights each bit's loss by how well its classifier separates the training
 languages, and takes the codeword with the least loss; the score is the
-softmax of the negative losses, and a text whose two best codewords are close
-is flagged as ambiguous.
+softmax of the negative losses.  A text is flagged as ambiguous if its two best
+codewords are close, or if its bits disagree with the chosen codeword in more
+places than the code corrects (half the least distance of two codewords): most
+such texts mix languages.
 
 Only the trigram counts of a bounded sample (MAX_TRAIN rows, whole texts, chosen
 by a hash of doc_id) are learned.  lang, source and doc_id are never inputs of
-a prediction.  `und` with score 0: null texts, texts without a letter, and all
-texts if there is nothing to learn from.  Repeated rows each give a row; ties
+a prediction.  `und` with score 0, and ambiguous: null texts, texts without a
+letter, and all texts if there is nothing to learn from.  Long texts are scored
+whole.  Repeated rows each give a row; ties
 between codewords go to the language first in order; a null doc_id counts as
 empty text in the folds.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, in_batches, keyed, named, table
 from toplane.llm.textops import chunks, owners
 
 TABLE_BITS = 16
@@ -90,6 +93,9 @@ class Model:
         bits = self.code.shape[1]
         share = np.stack([counts[x] / max(counts[x].sum(), 1) for x in self.languages]) if counts else np.zeros((0, 1))
         rare = 1e-6
+        apart = [int((self.code[a] != self.code[b]).sum()) for a in range(len(self.code)) for b in range(a)]
+        #: Wrong bits that the code corrects.
+        self.radius = (min(apart, default=1) - 1) // 2
         self.odds = np.zeros((1 << TABLE_BITS, bits), np.float32)
         for b in range(bits):
             one, none = share[self.code[:, b] == 1].mean(0), share[self.code[:, b] == 0].mean(0)
@@ -109,7 +115,8 @@ class Model:
         best = loss.argmin(1)
         gap = np.exp(loss.min(1, keepdims=True) - loss)
         score = 1 / gap.sum(1)
-        return best, score, score < AMBIGUOUS
+        wrong = ((margins > 0) != (self.code[best] == 1)).sum(1)
+        return best, score, (score < AMBIGUOUS) | (wrong > self.radius)
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float], list[bool]]:
         langs, scores, flags = [], [], []
@@ -148,16 +155,16 @@ def learn(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["lang", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for row in rows.mapInArrow(count, "lang string, counts binary").collect():
+    for row in in_batches(rows, count, "lang string, counts binary").collect():
         total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
     return Model(total)
 
 
 def identify(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """The key columns of each row, lang_pred, score, ambiguous."""
-    names = [f"key_{i}" for i in range(len(keys))]
-    inner = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keys, strict=True)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col(text_col).alias("text"))
-    schema = extended(docs.select(*keys).schema, "lang_pred string, score double, ambiguous boolean")
+    inner, names, where = keyed(docs, keys, text_col)
+    schema = extended(inner.select(*names).schema, "lang_pred string, score double, ambiguous boolean")
+    inner = inner.withColumn("has_letter", F.coalesce(inner[inner.columns[where]].rlike(r"\p{L}"), F.lit(False)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +172,13 @@ def identify(docs: DataFrame, model: Model, keys: list[str], text_col: str = "te
         for batch in batches:
             letters = batch.column("has_letter").to_pylist()
             if own.languages:
-                langs, scores, flags = own.predict(batch.column("text"))
+                langs, scores, flags = own.predict(batch.column(where))
             else:
                 langs, scores, flags = [UNDETERMINED] * len(letters), [0.0] * len(letters), [True] * len(letters)
             rows = [(a, b, c) if ok else (UNDETERMINED, 0.0, True) for a, b, c, ok in zip(langs, scores, flags, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())], names=schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return named(in_batches(inner, run, schema), names, keys, "lang_pred", "score", "ambiguous")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

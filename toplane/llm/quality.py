@@ -1,18 +1,21 @@
 """Quality rules by host: failure rates under an empirical beta prior.
 
-Each document is held against the base rules (below).  Their failures are
-counted by host; the hosts' rates are shrunk towards a beta prior whose two
-parameters come from the hosts' own mean and variance (by moments), and a host
-whose shrunk rate exceeds `max_host_rate` loses its documents.  Host verdicts
-go back to the documents by a join on the host.
+Each document is held against RULES.  Their failures are counted by host; for
+each rule, the hosts' rates are shrunk towards a beta prior whose two parameters
+come from the hosts' own mean and variance (by moments).  A host's limit follows
+from the prior that the other hosts give: DEVIATIONS of its standard deviations
+above its mean, but LEAST_LIMIT to MOST_LIMIT.  A host whose shrunk rate exceeds
+the limit of any rule loses its documents.  Host verdicts go back to the
+documents by a join on the host.
 
 Words are the runs of `[^\\x20\\x09-\\x0D]+`.  base_failed: fewer than 20 words,
 or more than 30 in 100 of them inside 8-word windows that the text holds twice.
 
-A null text has no words, and so fails.  A null host is a host of its own.
-Repeated rows each count and each give a row.  With fewer than two hosts, or
-no variance between them, the prior is the mean with the weight of PRIOR_WEIGHT
-documents.  An empty table gives an empty one.
+A null text has no words, and so fails the base rules.  Long texts are measured
+whole.  A null host is a host of its own.  Repeated rows each count and each
+give a row.  With fewer than two hosts, or no variance between them, the prior
+is the mean with the weight of PRIOR_WEIGHT documents; a single host has
+MOST_LIMIT as its limit.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,17 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, stored, table
-from toplane.llm.textops import NOT_NEWLINE, SPACED_WORD, _table, chunks, gram_hashes, owners, prefix_hashes, segments, span_hashes, sums_by
+from toplane.llm.shared import extended, in_batches, keyed, named, stored, table
+from toplane.llm.textops import NOT_NEWLINE, SPACED_WORD, _table, byte_hashes, chunks, gram_hashes, owners, segments, sums_by
 
 SYMBOLS = _table(b"#*$%&|<>")
 #: Bytes that begin a code point.
 LEADING = _table([*range(0x80), *range(0xC0, 0x100)])
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: A host goes when more than this share of its documents would fail.
-MAX_HOST_RATE = 0.5
+#: Between these shares of failing documents a host's limit lies, DEVIATIONS above what the other hosts make likely.
+LEAST_LIMIT, MOST_LIMIT, DEVIATIONS = 0.25, 0.5, 3.0
 PRIOR_WEIGHT = 10.0
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: What a document fails, by name: too few words or too many repeated ones; more than a symbol for each ten words; words of
+#: fewer than 3 or more than 12 code points in the mean; more repeated lines than one for each ten words.
+RULES = {
+    "base": f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lengths": "n_words > 0 and (word_chars < 3 * n_words or word_chars > 12 * n_words)",
+    "lines": "10 * n_dup_lines > n_words",
+}
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -60,8 +71,7 @@ def stats_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The columns STATS of each text."""
     mark = np.arange(1, len(offsets), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     starts, ends, at = segments(data, offsets, SPACED_WORD)
-    sums = prefix_hashes(data)
-    words = span_hashes(sums, starts, ends)
+    words = byte_hashes(data, starts, ends)
     chars = sums_by(SPACED_WORD[data] & LEADING[data], offsets)
     symbols = sums_by(SYMBOLS[data], offsets)
 
@@ -69,7 +79,7 @@ def stats_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_doc = owners(lines_at)
     has_word = np.searchsorted(starts, last) > np.searchsorted(starts, first)
     dup_lines = np.zeros(len(first), bool)
-    dup_lines[has_word] = later(span_hashes(sums, first[has_word], last[has_word]) ^ mark[line_doc[has_word]])
+    dup_lines[has_word] = later(byte_hashes(data, first[has_word], last[has_word]) ^ mark[line_doc[has_word]])
 
     doc = owners(at)
     grams = gram_hashes(words, WINDOW)
@@ -84,41 +94,53 @@ def stats_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def document_stats(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """The key columns of each row, the columns STATS, and base_failed."""
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, ", ".join(f"{name} bigint" for name in STATS))
+    inner, names, where = keyed(docs, keys, text_col)
+    schema = extended(inner.select(*names).schema, ", ".join(f"{name} bigint" for name in STATS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [stats_of(data, offsets) for _, _, data, offsets in chunks(batch.column("text"))] or [[np.zeros(0, np.int64)] * 5]
+            parts = [stats_of(data, offsets) for _, _, data, offsets in chunks(batch.column(where))] or [[np.zeros(0, np.int64)] * 5]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True))], names=schema.names)
 
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return inner.mapInArrow(scan, schema).withColumn("base_failed", failed)
+    return named(in_batches(inner, scan, schema), names, keys, *STATS, F.expr(RULES["base"]).alias("base_failed"))
 
 
-def host_verdicts(stats: DataFrame, host_col: str, failed_col: str = "base_failed", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_kept): rate is shrunk by the prior of all hosts."""
-    hosts = stats.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed_col).cast("bigint")).alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("mean"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("variance"))
-    weight = F.when((F.col("variance") > 0) & (F.col("mean") * (1 - F.col("mean")) > F.col("variance")), F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1).otherwise(F.lit(PRIOR_WEIGHT))
-    shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    # the prior is one row by construction
-    return hosts.crossJoin(F.broadcast(prior.withColumn("weight", weight))).select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk <= max_host_rate).alias("host_kept"))
+def host_verdicts(stats: DataFrame, host_col: str, rules: dict[str, str] = RULES) -> DataFrame:
+    """(host, n_docs, failed, rates, limits, host_kept): for each rule, its failures, their rate shrunk by the prior of all hosts, and the limit by that of the others."""
+    n = len(rules)
+    hosts = stats.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.array(*(F.sum(F.expr(rule).cast("bigint")) for rule in rules.values())).alias("failed"))
+    rate = lambda i: F.col("failed")[i] / F.col("n_docs")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), *(F.sum(rate(i)).alias(f"one_{i}") for i in range(n)), *(F.sum(rate(i) * rate(i)).alias(f"two_{i}") for i in range(n)))
 
+    def moments(many, one, two):
+        mean = one / F.greatest(many, F.lit(1))
+        return mean, F.greatest(F.when(many > 1, (two - many * mean * mean) / (many - 1)).otherwise(0.0), F.lit(0.0))
 
-def judge(docs: DataFrame, keys: list[str], host_col: str = "source", text_col: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The key columns of each row, STATS, base_failed, host_rate, kept.
+    # the sums are one row by construction
+    both = hosts.crossJoin(F.broadcast(sums))
+    rates, limits = [], []
+    for i in range(n):
+        mean, variance = moments(F.col("hosts"), F.col(f"one_{i}"), F.col(f"two_{i}"))
+        weight = F.when((variance > 1e-12) & (mean * (1 - mean) > variance), mean * (1 - mean) / variance - 1).otherwise(F.lit(PRIOR_WEIGHT))
+        rates.append((F.col("failed")[i] + mean * weight) / (F.col("n_docs") + weight))
+        others, spread = moments(F.col("hosts") - 1, F.col(f"one_{i}") - rate(i), F.col(f"two_{i}") - rate(i) * rate(i))
+        limits.append(F.when(F.col("hosts") > 1, F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(LEAST_LIMIT), others + DEVIATIONS * F.sqrt(spread)))).otherwise(F.lit(MOST_LIMIT)))
+    kept = F.forall(F.arrays_zip("rates", "limits"), lambda x: x["rates"] <= x["limits"])
+    return both.select("host", "n_docs", "failed", F.array(*rates).alias("rates"), F.array(*limits).alias("limits")).withColumn("host_kept", kept)
+
+
+def judge(docs: DataFrame, keys: list[str], host_col: str = "source", text_col: str = "text", rules: dict[str, str] = RULES) -> DataFrame:
+    """The key columns of each row, STATS, base_failed, host_rates (by rule, in their order), kept.
 
     The documents' statistics are written once; the host table joins them
     without moving the texts again.
     """
-    inner = docs.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    names = [f"key_{i}" for i in range(len(keys))]
+    names = [f"own_{i}" for i in range(len(keys))]
+    inner = docs.select(*(docs[k].alias(n) for n, k in zip(names, keys, strict=True)), docs[host_col].alias("host"), docs[text_col].alias("text"))
     stats = stored(document_stats(inner, [*names, "host"]))
-    hosts = host_verdicts(stats, "host", max_host_rate=max_host_rate).select(F.col("host").alias("of"), "rate", "host_kept")
+    hosts = host_verdicts(stats, "host", rules).select(F.col("host").alias("of"), "rates", "host_kept")
     out = stats.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left")
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), *STATS, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    return named(out, names, keys, *STATS, "base_failed", F.col("rates").alias("host_rates"), (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

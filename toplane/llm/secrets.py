@@ -13,7 +13,7 @@ identifiers (separated words, dates, version or host names, words with a short
 number) are left out, and so is a run that touches a base span.  Spans are in
 code points, end exclusive.
 
-Null is an empty text.  Ties at one start go by kind in the order above.
+Null is an empty text; a long one is searched whole.  Ties at one start go by kind in the order above.
 Repeated rows each give a row; an empty table gives an empty one.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, in_batches, keyed, named, table
 from toplane.llm.token_counts import VOCABULARY, encoding
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -77,14 +77,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, keys: list[str], text_col: str = "text", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
     """The key columns of each row, n_assign, n_access, n_hex, n_random, base (the base spans as text) and spans (all)."""
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base string, spans string")
+    inner, names, where = keyed(docs, keys, text_col)
+    schema = extended(inner.select(*names).schema, "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base string, spans string")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
             rows = []
-            for x in batch.column("text"):
+            for x in batch.column(where):
                 text = x.as_py() or ""
                 base = base_spans(text)
                 more = random_spans(text, base, encode, max_ratio)
@@ -93,7 +93,7 @@ def find_secrets(docs: DataFrame, keys: list[str], text_col: str = "text", vocab
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=schema.names)
 
-    return inner.mapInArrow(scan, schema)
+    return named(in_batches(inner, scan, schema), names, keys, "n_assign", "n_access", "n_hex", "n_random", "base", "spans")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

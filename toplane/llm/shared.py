@@ -49,6 +49,20 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def keyed(docs: DataFrame, keys: list[str], text_col: str) -> tuple[DataFrame, list[str], int]:
+    """docs with its key columns and its text under names of our own, their names, and the text's place; a text that is a key too comes once."""
+    names = [f"key_{i}" for i in range(len(keys))]
+    columns = [docs[k].alias(n) for k, n in zip(keys, names, strict=True)]
+    if text_col in keys:
+        return docs.select(*columns), names, keys.index(text_col)
+    return docs.select(*columns, docs[text_col].alias("text")), names, len(keys)
+
+
+def named(out: DataFrame, names: list[str], keys: list[str], *rest) -> DataFrame:
+    """The key columns under their own names again, then the rest."""
+    return out.select(*(out[n].alias(k) for n, k in zip(names, keys, strict=True)), *rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

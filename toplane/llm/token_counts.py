@@ -1,14 +1,14 @@
 """Token counts: an exact histogram of encoded lengths and its suffix sums.
 
-Each document is encoded once, whole, under a tiktoken vocabulary; only its
-length goes on.  The histogram (one row per distinct length) is aggregated with
-map-side sums.  Suffix sums over it answer, for any context limit L: how many
+Each document is encoded whole under a tiktoken vocabulary; only its length
+goes on.  The histogram (one row per distinct length) is aggregated with
+map-side sums; op1_token_counts() writes it once, so no document is encoded twice.  Suffix sums over it answer, for any context limit L: how many
 documents have at least L tokens, the total, the total when each document is
 cut at L tokens, and any quantile.
 
 The suffix sums are taken inside ranges of lengths, and the ranges' own totals
 (a few hundred rows) are summed apart, so that no single task orders all
-lengths.  Null and empty texts have length 0; repeated rows each count; an
+lengths.  Null and empty texts have length 0, long ones are encoded whole; repeated rows each count; an
 empty table has an empty histogram.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, in_batches, keyed, named, stored, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths that share a range of the suffix sums.
@@ -53,15 +53,15 @@ def encoding(name: str = VOCABULARY):
 
 def with_lengths(docs: DataFrame, keys: list[str], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The key columns and n_tokens of each row."""
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
+    inner, names, where = keyed(docs, keys, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
-            n = pa.array([len(encode(x.as_py() or "")) for x in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), n], names=[*keys, "n_tokens"])
+            n = pa.array([len(encode(x.as_py() or "")) for x in batch.column(where)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), n], names=[*names, "n_tokens"])
 
-    return inner.mapInArrow(count, extended(inner.select(*keys).schema, "n_tokens bigint"))
+    return named(in_batches(inner, count, extended(inner.select(*names).schema, "n_tokens bigint")), names, keys, "n_tokens")
 
 
 def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
@@ -106,5 +106,6 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix sums at every distinct length, with the share of documents no longer than it."""
-    sums = suffix_sums(histogram(with_lengths(table(spark, sf_dir, "documents"), [])))
+    # the histogram is read twice and written once, so that no text is encoded again
+    sums = suffix_sums(stored(histogram(with_lengths(table(spark, sf_dir, "documents"), []))))
     return sums.withColumn("share_at_most", (F.col("docs_total") - F.col("docs_ge") + F.col("n_docs")) / F.col("docs_total"))

@@ -8,8 +8,16 @@ made deterministic as words walk it.  Words within distance 1 of a term that
 clean training texts use are no misspellings.
 
 Each hit is read with CONTEXT words on either side: one inside quotation marks,
-or beside a word of reporting, counts as quoted.  A logistic regression over
-counts of hits (exact, misspelled, quoted, and by length) gives the score.
+or beside a word of reporting, counts as quoted, and not as abuse: how many
+hits there are, how different and how dense, is counted over the others.  A
+logistic regression over these features gives the score, so where the labelled
+rows hold no quoted hit, a text of nothing but quoted hits scores like one
+without hits.  Learned beginnings of words, and terms of fewer than
+FUZZY_LENGTH letters, are matched as they are: one edit away from them lie too
+many words of other meanings.
+
+The sample is bounded, and so is what can be learned from it: the MAX_TERMS
+terms with the most evidence.  Scoring reads all texts whole, long ones too.
 
 Null and empty texts get the score of a text without hits.  With no labels of
 one of the two kinds, every score is 0.  Repeated rows each give a row.
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplane.llm.language import fold
-from toplane.llm.shared import extended, table
+from toplane.llm.shared import extended, in_batches, keyed, named, table
 
 #: Labelled rows that are learned from, and terms of the lexicon, at most.
 MAX_TRAIN, MAX_TERMS = 12_000, 2_000
@@ -132,7 +140,7 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """1, then log(1 + x) of: weights of exact hits, of misspelled ones, of quoted ones, hits per hundred words, different hits; and 1 if any exact hit."""
+    """1, then log(1 + x) of: weights of exact hits, of misspelled ones, of quoted ones, hits that aren't quoted per hundred words, how many different ones; and 1 if any exact hit."""
     low = text.lower()
     look = lexicon.look
     hits = {w: x for w in set(WORD.findall(low)) if (x := look(w))}
@@ -140,22 +148,24 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         return [1.0, 0, 0, 0, 0, 0, 0]
     exact = fuzzy = quoted = 0.0
     spans = [(m.group(), m.start()) for m in WORD.finditer(low)]
-    n = 0
+    n, different = 0, set()
     for i, (w, at) in enumerate(spans):
         if w not in hits:
             continue
-        n += 1
         weight, near = hits[w]
         around = spans[max(0, i - CONTEXT) : i + CONTEXT + 1]
         lo, hi = around[0][1], around[-1][1] + len(around[-1][0])
         before, after = low[lo:at], low[at + len(w) : hi]
         if any(q in before for q in QUOTES) and any(q in after for q in QUOTES) or any(x in REPORTING for x, _ in around):
             quoted += weight
-        elif near:
+            continue
+        n += 1
+        different.add(w)
+        if near:
             fuzzy += weight
         else:
             exact += weight
-    return [1.0, float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(100 * n / len(spans))), float(np.log1p(len(hits))), float(exact > 0)]
+    return [1.0, float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(100 * n / len(spans))), float(np.log1p(len(different))), float(exact > 0)]
 
 
 N_FEATURES = 7
@@ -203,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", tex
     if len(kinds) < 2:
         return Lexicon({}), None
     odds = ((F.col("toxic") + 0.5) / (kinds[1] + 1)) / ((F.col("clean") + 0.5) / (kinds[0] + 1))
-    counted = rows.mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = in_batches(rows, count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counted.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("toxic") * F.log("odds")), "term").limit(max(MAX_TERMS, 1)).collect()
     terms = {r["term"]: float(np.log(r["odds"])) for r in best}
     rough = Lexicon(terms)
@@ -216,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", tex
                     found |= {w for w in set(WORD.findall(x.lower())) if (hit := rough.look(w)) and hit[1]}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
-    clean = frozenset(r["word"] for r in rows.mapInArrow(near, "word string").distinct().collect())
+    clean = frozenset(r["word"] for r in in_batches(rows, near, "word string").distinct().collect())
     lexicon = Lexicon(terms, clean)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +234,15 @@ def learn(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", tex
             found = [features(x, lexicon) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.float64()), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
 
-    seen = rows.mapInArrow(measure, "y double, x array<double>").collect()
+    seen = in_batches(rows, measure, "y double, x array<double>").collect()
     rows.unpersist()
     return lexicon, regression(np.array([r["x"] for r in seen]), np.array([float(r["y"] > 0) for r in seen]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The key columns of each row, score and predicted."""
-    inner = docs.select(*keys, F.col(text_col).alias("text"))
-    schema = extended(inner.select(*keys).schema, "score double, predicted int")
+    inner, names, where = keyed(docs, keys, text_col)
+    schema = extended(inner.select(*names).schema, "score double, predicted int")
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +251,11 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None, keys: l
             if w is None:
                 found = [0.0] * batch.num_rows
             else:
-                x = np.array([features(x.as_py() or "", own) for x in batch.column("text")]).reshape(-1, N_FEATURES)
+                x = np.array([features(x.as_py() or "", own) for x in batch.column(where)]).reshape(-1, N_FEATURES)
                 found = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return named(in_batches(inner, run, schema), names, keys, "score", "predicted")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
