@@ -1,6 +1,7 @@
 """A training-corpus pipeline: five operators in a row, each on what its predecessor kept.
 
-1 language ID: documents without a letter go (the scores and the `ambiguous` flag reject nothing)
+1 language ID: documents whose language the decoder can't tell go (no letter, or flagged as ambiguous);
+  where no document names a language to learn from, only those without a letter
 2 line dedup: lines that a source repeats over its documents are cut out
 3 n-gram Jaccard join: one document of each group of near copies stays
 4 benchmark decontamination: benchmark passages are cut out, documents made of them go
@@ -27,9 +28,11 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects `und`: texts that are null or have no letter; the prediction replaces no column."""
+    """Rejects `und` and ambiguous texts; the prediction replaces no column."""
     model = language.learn(docs, language.fold("doc_id", language.FOLDS) != 0)
-    return language.identify(docs.select(*COLUMNS), model, list(COLUMNS)).filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
+    if not model.languages:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
+    return language.identify(docs.select(*COLUMNS), model, list(COLUMNS)).filter((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
