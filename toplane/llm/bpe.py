@@ -29,8 +29,8 @@ from toplane.llm.token_counts import vocabulary_path
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of text, as the byte-level pre-tokenizer cuts them.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the table of pieces; it is emptied when full.
-MAX_PIECES = 400_000
+#: Pieces that a process knows at most, twice over: when the newer table is full, it takes the place of the older one.
+MAX_PIECES = 80_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,6 +60,7 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one piece."""
@@ -95,12 +96,14 @@ class Codec:
         return out
 
     def piece(self, text: str) -> tuple[int, str, bytes]:
-        """(tokens, their ids as text, what they decode to) of a piece that isn't known yet."""
-        ids = self.merge(text.encode())
-        found = (len(ids), ",".join(map(str, ids)), self.join(ids))
+        """(tokens, their ids as text, what they decode to) of a piece that the newer table doesn't hold."""
+        found = self.older.get(text)
+        if found is None:
+            ids = self.merge(text.encode())
+            found = (len(ids), ",".join(map(str, ids)), self.join(ids))
         if len(text) <= 64:
             if len(self.known) >= MAX_PIECES:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[text] = found
         return found
 
