@@ -314,8 +314,9 @@ def repeated_spans(inner: DataFrame, length: int = LENGTH, size: int = ANCHOR, m
 
     `row` is a hash of (doc_id, text).
     """
-    # counts are combined before they move; the join's hot anchors are split by adaptive execution
+    # counts are combined before they move; they are written, so that adaptive execution may split the join at hot anchors
     often = find_anchors(inner, length, size).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    often = stored(often)
     repeats = stored(find_blocks(inner, length, size).join(often, "h").select("row", "h", "bh", "at"))
     kinds = stored(repeats.groupBy("h", "bh").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one")))
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
