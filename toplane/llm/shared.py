@@ -1,8 +1,8 @@
-"""Tables that outlive their plan, and the digests that the queries return."""
+"""Tables that outlive their plan, and batches for Python workers."""
 
 from __future__ import annotations
 
-import hashlib
+import contextlib
 import re
 import tempfile
 import uuid
@@ -38,9 +38,30 @@ BATCH_BYTES = 4 << 20
 
 
 def in_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """df.mapInArrow() in batches of a few MB, so that a worker's memory follows neither the rows of a partition nor their length."""
+    """df.mapInArrow() in batches of a few MB, so that a worker's memory follows neither the rows of a partition nor their length.
+
+    Workers live on after a task; what it has freed goes back to the system.
+    """
     bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def bounded(spark: SparkSession) -> None:
@@ -67,10 +88,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sha256_hex(data) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def extended(schema: StructType, ddl: str) -> StructType:
     """The schema with further columns."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
