@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of text, as the byte-level pre-tokenizer cuts them.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a process knows at most, twice over: when the newer table is full, it takes the place of the older one.
-MAX_PIECES = 80_000
+MAX_PIECES = 64_000
 
 
 def byte_letters() -> dict[str, int]:
