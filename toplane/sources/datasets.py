@@ -6,9 +6,13 @@ load() gives encoded interactions, read() the raw columns.
 
 from __future__ import annotations
 
+import io
 import os
+import tarfile
+import zipfile
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +69,15 @@ class Dataset(ABC):
     def _items(self, n: int, dup: bool = False) -> Filter:
         return MinItemsPerUser(n, self.ITEM_IX, self.USER_IX, count_duplicates=dup)
 
+    @property
+    def archived(self) -> bool:
+        return self.filename.endswith(ARCHIVES)
+
+    def _archived_csv(self, schema: str, match: str = "") -> DataFrame:
+        """The rows of the CSV files in an archive, each with a line of names first."""
+        lines = archive_members(self.spark, self.file_path, match).filter("number > 0")
+        return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
+
     def _csv(self, schema: str, path: str | None = None, **options) -> DataFrame:
         return self.spark.read.csv(path or self.file_path, schema=schema, **options)
 
@@ -125,7 +138,7 @@ class MovieLens10M(MovieLens1M):
 
 
 class Netflix(Dataset):
-    """The cached CSV, or a folder of one file per movie (a line `id:`, then `user,rating,date`)."""
+    """The cached CSV, or one file per movie (a line `id:`, then `user,rating,date`), in a folder or in an archive, itself inside another or not."""
 
     RATING_IX = "rating"
     DEFAULT_FILENAME = "netflix.csv"
@@ -136,7 +149,10 @@ class Netflix(Dataset):
     def read(self) -> DataFrame:
         if self.filename.endswith(".csv"):
             return self._csv("user_id string, item_id string, timestamp bigint, rating double", header=True)
-        lines = self.spark.read.text(self.file_path).select("value", F.input_file_name().alias("file"))
+        if self.archived:
+            lines = archive_members(self.spark, self.file_path, "mv_").select(F.col("line").alias("value"), F.col("member").alias("file"))
+        else:
+            lines = self.spark.read.text(self.file_path).select("value", F.input_file_name().alias("file"))
         movie = lines.filter(F.col("value").endswith(":")).select("file", F.expr("rtrim(':', value)").alias("item_id"))
         rows = lines.filter(~F.col("value").endswith(":")).select("file", F.split("value", ",").alias("v"))
         # one row a file; joined as Spark finds best
@@ -144,7 +160,7 @@ class Netflix(Dataset):
 
 
 class AdressaOneWeek(Dataset):
-    """JSON lines; rows with all three keys."""
+    """JSON lines, in files or in an archive; rows with all three keys."""
 
     USER_IX, ITEM_IX, TIMESTAMP_IX = "userId", "id", "time"
     DEFAULT_FILENAME = "one_week"
@@ -153,7 +169,10 @@ class AdressaOneWeek(Dataset):
         return [self._items(3), self._users(5)]
 
     def read(self) -> DataFrame:
-        return self.spark.read.json(self.file_path, schema="userId string, id string, time bigint").dropna()
+        schema = "userId string, id string, time bigint"
+        if self.archived:
+            return archive_members(self.spark, self.file_path).select(F.from_json("line", schema).alias("r")).select("r.*").dropna()
+        return self.spark.read.json(self.file_path, schema=schema).dropna()
 
 
 class CiteULike(Dataset):
@@ -191,7 +210,7 @@ class _EventTypes(Dataset):
 
 
 class CosmeticsShop(_EventTypes):
-    """CSV files of a shop's events."""
+    """CSV files of a shop's events, in a folder or in an archive."""
 
     USER_IX, ITEM_IX, TIMESTAMP_IX = "user_id", "product_id", "event_time"
     ALLOWED = ("view", "cart", "remove_from_cart", "purchase")
@@ -206,12 +225,12 @@ class CosmeticsShop(_EventTypes):
 
     def read(self) -> DataFrame:
         schema = "event_time string, event_type string, product_id bigint, category_id bigint, category_code string, brand string, price double, user_id bigint, user_session string"
-        df = self._typed(self._csv(schema, header=True))
+        df = self._typed(self._archived_csv(schema) if self.archived else self._csv(schema, header=True))
         return df.select(self.USER_IX, self.ITEM_IX, F.unix_timestamp(F.substring(self.TIMESTAMP_IX, 1, 19), "yyyy-MM-dd HH:mm:ss").alias(self.TIMESTAMP_IX), *self.extra_cols)
 
 
 class Globo(Dataset):
-    """CSV files of clicks by the hour; times in milliseconds."""
+    """CSV files of clicks by the hour, in a folder or in an archive; times in milliseconds."""
 
     USER_IX, ITEM_IX, TIMESTAMP_IX = "user_id", "click_article_id", "click_timestamp"
     DEFAULT_FILENAME = "clicks"
@@ -221,7 +240,7 @@ class Globo(Dataset):
 
     def read(self) -> DataFrame:
         schema = "user_id bigint, session_id bigint, session_start bigint, session_size int, click_article_id bigint, click_timestamp bigint, click_environment int, click_deviceGroup int, click_os int, click_country int, click_region int, click_referrer_type int"
-        df = self._csv(schema, header=True, pathGlobFilter="clicks_hour*")
+        df = self._archived_csv(schema, "clicks_hour") if self.archived else self._csv(schema, header=True, pathGlobFilter="clicks_hour*")
         return df.select(self.USER_IX, self.ITEM_IX, (F.col(self.TIMESTAMP_IX) / 1000).alias(self.TIMESTAMP_IX))
 
 
@@ -283,31 +302,48 @@ class MillionSongDataset(Dataset):
 TasteProfile = MillionSongDataset
 
 
+ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2")
+#: Lines of a member that go on together.
+LINES = 50_000
+
+
 def archive_members(spark: SparkSession, path: str, match: str = "", encoding: str = "utf-8") -> DataFrame:
-    """(member, line) of the text files in tar or zip archives at a path: archives are spread over tasks, lines are streamed."""
+    """(member, number, line) of the text files in tar or zip archives at a path, and in archives inside these.
+
+    Archives are spread over tasks; an archive is one row, so it may have 2 GB at
+    most.  Its members' lines are read and passed on in parts, numbered from 0.
+    """
+
+    def texts(raw: io.BufferedIOBase, prefix: str) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        if zipfile.is_zipfile(raw):
+            with zipfile.ZipFile(raw) as z:
+                for name in z.namelist():
+                    if not name.endswith("/"):
+                        with z.open(name) as f:
+                            yield from inside(f, prefix + name)
+            return
+        raw.seek(0)
+        with tarfile.open(fileobj=raw) as t:
+            for m in t:
+                if m.isfile():
+                    yield from inside(t.extractfile(m), prefix + m.name)
+
+    def inside(f: io.BufferedIOBase, name: str) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        if name.endswith(ARCHIVES):
+            yield from texts(io.BytesIO(f.read()), f"{name}/")
+        elif match in name.rsplit("/", 1)[-1]:
+            yield name, f
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import tarfile
-        import zipfile
-
         for frame in frames:
             for content in frame["content"]:
-                raw = io.BytesIO(content)
-                if zipfile.is_zipfile(raw):
-                    with zipfile.ZipFile(raw) as z:
-                        for name in z.namelist():
-                            if match in name and not name.endswith("/"):
-                                with z.open(name) as f:
-                                    yield pd.DataFrame({"member": name, "line": f.read().decode(encoding).splitlines()})
-                else:
-                    raw.seek(0)
-                    with tarfile.open(fileobj=raw) as t:
-                        for m in t:
-                            if m.isfile() and match in m.name:
-                                yield pd.DataFrame({"member": m.name, "line": t.extractfile(m).read().decode(encoding).splitlines()})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, line string")
+                for name, f in texts(io.BytesIO(content), ""):
+                    lines = enumerate(x.rstrip("\r\n") for x in io.TextIOWrapper(f, encoding))
+                    while part := list(islice(lines, LINES)):
+                        number, line = zip(*part, strict=True)
+                        yield pd.DataFrame({"member": name, "number": number, "line": line})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, number bigint, line string")
 
 
 DATASETS = {c.__name__: c for c in (AdressaOneWeek, CiteULike, CosmeticsShop, DummyDataset, Globo, MillionSongDataset, MovieLens100K, MovieLens10M, MovieLens1M, MovieLens25M, Netflix, RecsysChallenge2015, RetailRocket, ThirtyMusicSessions)}
