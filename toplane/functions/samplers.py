@@ -30,11 +30,22 @@ class PositiveNegativeSampler:
         shape = (len(users), self.num_negatives)
         draw = (lambda n: self.rng.integers(0, num_items, n)) if p is None else (lambda n: self.rng.choice(num_items, n, p=p))
         out = draw(shape)
-        for _ in range(200):
+        for _ in range(20):
             bad = np.isin(users[:, None] * num_items + out, self._known) if self.exact else out == positives[:, None]
             if not bad.any():
-                break
+                return out
             out[bad] = draw(int(bad.sum()))
+        # what still clashes is drawn from the items that are allowed
+        for r, c in zip(*np.nonzero(np.isin(users[:, None] * num_items + out, self._known) if self.exact else out == positives[:, None]), strict=True):
+            allowed = np.ones(num_items, bool)
+            own = self._known[slice(*np.searchsorted(self._known, [users[r] * num_items, (users[r] + 1) * num_items]))] - users[r] * num_items if self.exact else positives[r : r + 1]
+            allowed[own] = False
+            if p is not None:
+                allowed &= p > 0
+            if not allowed.any():
+                raise ValueError(f"user {users[r]} has no item left for a negative")
+            left = np.flatnonzero(allowed)
+            out[r, c] = self.rng.choice(left, p=None if p is None else p[left] / p[left].sum())
         return out
 
     def sample(self, users: np.ndarray, items: np.ndarray, num_items: int, sample_size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

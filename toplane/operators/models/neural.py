@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplane.functions import autograd as ag
@@ -172,14 +172,27 @@ class TrainedModel(Algorithm):
         return self._score(self._state(), users, histories)
 
     def save(self, path: str) -> None:
-        np.savez(path, **self._state())
+        """The parameters and all that predict() needs, in one file."""
+        own = {f"own:{k}": np.asarray(getattr(self, k)) for k in self._kept()}
+        np.savez(path, **self._state(), **own)
+
+    def _kept(self) -> list[str]:
+        """Attributes that are saved beside the parameters."""
+        return ["num_users", "num_items"]
 
     def load(self, path: str) -> TrainedModel:
         with np.load(path) as f:
-            self.params = {k: Var(f[k]) for k in f.files}
+            self.params = {k: Var(f[k]) for k in f.files if not k.startswith("own:")}
+            for k in f.files:
+                if k.startswith("own:"):
+                    setattr(self, k[4:], f[k] if f[k].ndim else f[k].item())
+        self._restore()
         self.fitted_ = True
         return self
 
+    def _restore(self) -> None:
+        """Called once after loading."""
+
     def _predict(self, x) -> DataFrame:
         spark = x.df.sparkSession
         keep = ("num_items", "num_users", "predict_topK", "batch_size", *self._needed)
@@ -197,8 +210,7 @@ class TrainedModel(Algorithm):
                     users = part[USER].to_numpy()
                     scores = model._score(state, users, [np.asarray(h, np.int64) for h in part["items"]])
                     if model.predict_topK:
-                        low = np.sort(scores, 1)[:, -min(model.predict_topK, scores.shape[1])][:, None]
-                        scores = np.where(scores >= low, scores, 0)
+                        scores = best_of(scores, model.predict_topK)
                     r, c = np.nonzero(scores)
                     yield pd.DataFrame({USER: users[r], ITEM: c.astype(np.int64), "score": scores[r, c]})
 
@@ -326,9 +338,16 @@ class Prod2Vec(TrainedModel):
         return _rows(histories, self.num_items) @ self.sim_
 
     def _finish(self, x) -> None:
-        r, c = np.nonzero(self.sim_)
-        spark = x.df.sparkSession
-        self.similarity_ = spark.createDataFrame(pd.DataFrame({"i": r.astype(np.int64), "j": c.astype(np.int64), "sim": self.sim_[r, c]}), "i bigint, j bigint, sim double").persist()
+        self.i_, self.j_ = (a.astype(np.int64) for a in np.nonzero(self.sim_))
+        self.s_ = self.sim_[self.i_, self.j_]
+        self._restore()
+
+    def _kept(self):
+        return [*super()._kept(), "i_", "j_", "s_"]
+
+    def _restore(self) -> None:
+        spark = SparkSession.active()
+        self.similarity_ = spark.createDataFrame(pd.DataFrame({"i": self.i_, "j": self.j_, "sim": self.s_}), "i bigint, j bigint, sim double")
 
     def _predict(self, x) -> DataFrame:
         return applied(x.binary_values, self.similarity_)
@@ -344,8 +363,15 @@ def nearest(e: np.ndarray, k: int, allowed: np.ndarray | None = None) -> np.ndar
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = 0
         if allowed is not None:
             s = np.where(allowed[lo : lo + 1024], s, 0)
-        cut = np.sort(s, 1)[:, -min(k, s.shape[1])][:, None]
-        out[lo : lo + 1024] = np.where(s >= cut, s, 0)
+        out[lo : lo + 1024] = best_of(s, k)
+    return out
+
+
+def best_of(s: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, of equal ones those further right; 0 for the rest."""
+    at = np.argsort(s, 1, kind="stable")[:, -min(k, s.shape[1]) :]
+    out = np.zeros_like(s)
+    np.put_along_axis(out, at, np.take_along_axis(s, at, 1), 1)
     return out
 
 

@@ -19,9 +19,9 @@ FOREVER = 2**31 - 1
 
 
 def hashed(column: Column | str, seed: int) -> Column:
-    """A repeatable pseudo-random integer below 1000003."""
+    """A repeatable pseudo-random integer below 1000003, for ids of any size."""
     column = F.col(column) if isinstance(column, str) else column
-    return (column * F.lit(7919) + F.lit(seed * 104729)) % F.lit(1000003)
+    return (column % F.lit(1000003) * F.lit(7919) + F.lit(seed * 104729)) % F.lit(1000003)
 
 
 class Splitter(ABC):
