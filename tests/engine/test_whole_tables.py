@@ -1,8 +1,12 @@
-"""Queries over all rows, where their SQL keeps a part of them."""
+"""Queries over all rows, and what the trained models draw from."""
+
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from toplane.functions import samplers
+from toplane.operators.models import neural
 from toplane.plans import algebra, catalogue
 
 
@@ -54,23 +58,29 @@ def by_sql(sf_dir, sql):
     return con.sql(sql).fetchall()
 
 
-@pytest.mark.parametrize(
-    ("name", "whole"),
-    [("r_kunn", {"WHERE uid % 5 = 0": ""}), ("r_stan", {"WHERE uid % 3 <> 0": f"WHERE ts < {catalogue.T}", "WHERE uid % 3 = 0": ""})],
-)
-def test_user_models_predict_for_all(spark, sf_dir, name, whole):
-    """Against the SQL without its filters of users."""
-    sql = catalogue.ORACLES[name]
-    for part, instead in whole.items():
-        assert sql.count(part) == 1
-        sql = sql.replace(part, instead)
+@pytest.mark.parametrize("name", ["r_kunn", "r_stan"])
+def test_user_models_predict_for_all(spark, sf_dir, name):
     got = {(r["uid"], r["iid"]): r["score"] for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
-    want = {(u, i): x for u, i, x in by_sql(sf_dir, sql)}
+    want = {(u, i): x for u, i, x in by_sql(sf_dir, catalogue.ORACLES[name])}
     # cells at the bound of 1e-6 may be on either side
     assert all(abs((got | want)[x]) < 2e-6 for x in set(got) ^ set(want))
     assert all(got[x] == pytest.approx(want[x], abs=2e-6) for x in set(got) & set(want))
     assert len({u % 15 for u, _ in got}) == 15
-    if name == "r_kunn":
-        part = {(u, i): x for u, i, x in by_sql(sf_dir, catalogue.ORACLES[name])}
-        mine = {x: v for x, v in got.items() if x[0] % 5 == 0}
-        assert set(part) == set(mine) and all(mine[x] == pytest.approx(part[x], abs=2e-6) for x in part)
+
+
+def test_samples_follow_the_library(spark, sf_dir):
+    """The queries' pairs, targets and shares are those that the trained models draw from."""
+    events = catalogue.im(catalogue.clicks(spark, sf_dir))
+    users, histories = neural.read_histories(events)
+    focus, context = neural.skipgram_pairs(histories, 2)
+    pairs = {(r["focus"], r["context"]): r["n"] for r in catalogue.QUERIES["s_skipgram_pairs"](spark, sf_dir).collect()}
+    assert pairs == Counter(zip(focus.tolist(), context.tolist(), strict=True))
+    targets = sorted(tuple(r) for r in catalogue.QUERIES["s_seq_targets"](spark, sf_dir).select("uid", "item", "target").collect())
+    drawn = []
+    for u, x, y, _ in samplers.SequencePositivesTargetsNegatives(1, pad=10**6).sample(users, histories):
+        r, c = np.nonzero(y < 10**6)
+        drawn += zip(u[r].tolist(), x[r, c].tolist(), y[r, c].tolist(), strict=True)
+    assert targets == sorted(drawn)
+    items = np.concatenate(histories)
+    p = samplers.unigram_distribution(np.bincount(items))
+    assert all(r["p"] == pytest.approx(p[r["iid"]], abs=1e-6) for r in catalogue.QUERIES["s_unigram_dist"](spark, sf_dir).collect())

@@ -465,7 +465,7 @@ def _(s, d):
     f"SELECT uid, iid, {R('sum(score)')} AS score FROM (SELECT * FROM bu UNION ALL SELECT * FROM bi) GROUP BY uid, iid HAVING abs(sum(score)) >= 1e-6",
     p="SELECT DISTINCT uid, iid FROM clicks",
     t=f"SELECT DISTINCT uid, iid FROM clicks WHERE ts < {T}",
-    x="SELECT * FROM p WHERE uid % 5 = 0",
+    x="SELECT * FROM p",
     cu="SELECT uid, CAST(count(*) AS DOUBLE) AS c FROM t GROUP BY uid",
     cit="SELECT iid, CAST(count(*) AS DOUBLE) AS c FROM t GROUP BY iid",
     raw="SELECT y.iid AS i, z.iid AS j, sum(1.0 / (sqrt(cu.c) * sqrt(a.c) * sqrt(e.c))) AS s FROM t y JOIN t z ON y.uid = z.uid AND y.iid <> z.iid JOIN cu ON cu.uid = y.uid JOIN cit a ON a.iid = y.iid JOIN cit e ON e.iid = z.iid GROUP BY y.iid, z.iid",
@@ -480,7 +480,6 @@ def _(s, d):
 def _(s, d):
     x = clicks(s, d)
     model = knn.KUNN(Ku=20, Ki=20).fit(im(x.filter(F.col("ts") < T)))
-    # for all users; the SQL only has those of uid % 5 = 0
     return model.predict(im(x)).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
 
 
@@ -549,8 +548,8 @@ _similarities("r_hermann", lambda: timeaware.TARSItemKNNHermann(K=20, decay_inte
 @query(
     "r_stan",
     f"SELECT s AS uid, iid, {R('sum(sim * exp(-1.0 * abs(pos - mt)))')} AS score FROM near JOIN tp ON tp.uid = near.v AND pos <> mt GROUP BY s, iid HAVING abs(sum(sim * exp(-1.0 * abs(pos - mt)))) >= 1e-6",
-    a="SELECT uid, iid, max(ts) AS ts FROM clicks WHERE uid % 3 <> 0 GROUP BY uid, iid",
-    q="SELECT uid, iid, max(ts) AS ts FROM clicks WHERE uid % 3 = 0 GROUP BY uid, iid",
+    a=f"SELECT uid, iid, max(ts) AS ts FROM clicks WHERE ts < {T} GROUP BY uid, iid",
+    q="SELECT uid, iid, max(ts) AS ts FROM clicks GROUP BY uid, iid",
     tp="SELECT uid, iid, row_number() OVER (PARTITION BY uid ORDER BY ts, iid) AS pos, count(*) OVER (PARTITION BY uid) AS n, max(ts) OVER (PARTITION BY uid) AS l FROM a",
     qp="SELECT uid, iid, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, iid DESC) AS rev, count(*) OVER (PARTITION BY uid) AS n, max(ts) OVER (PARTITION BY uid) AS l FROM q",
     pr="SELECT qp.uid AS s, tp.uid AS v, sum(exp(-CAST(0.1 AS DOUBLE) * (rev - 1)) / sqrt(CAST(qp.n * tp.n AS DOUBLE))) * exp(1e-6 * (max(tp.l) - max(qp.l))) AS sim, max(pos) AS mt FROM qp JOIN tp ON qp.iid = tp.iid AND qp.uid <> tp.uid AND qp.l <> tp.l GROUP BY qp.uid, tp.uid",
@@ -559,7 +558,6 @@ _similarities("r_hermann", lambda: timeaware.TARSItemKNNHermann(K=20, decay_inte
 def _(s, d):
     x = clicks(s, d)
     model = sequential.STAN(K=20, interaction_decay=0.1, session_decay=1e-6, distance_from_match_decay=1).fit(im(x.filter(F.col("ts") < T)))
-    # sessions before T as neighbours, predictions for all users; the SQL parts the users by uid % 3 instead
     return model.predict(im(x)).filter("abs(score) >= 1e-6").withColumn("score", r6("score"))
 
 
@@ -770,9 +768,8 @@ def _(s, d):
 # ---- vectors and samples
 
 
-@query("emb_cosine_topk", f"SELECT i, j, {R('s')} AS sim FROM top", e="SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 300", raw="SELECT x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v)) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id", top=_KEEP.format("raw", 5))
+@query("emb_cosine_topk", f"SELECT i, j, {R('s')} AS sim FROM top", e="SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings", raw="SELECT x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v)) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id", top=_KEEP.format("raw", 5))
 def _(s, d):
-    # all vectors against all; the SQL only has those of vec_id < 300, and so differs
     return algebra.nearest_vectors(read(s, d, "embeddings").select("vec_id", "embedding"), 5).withColumn("sim", r6("sim"))
 
 
