@@ -4,12 +4,13 @@ Encoding: a text is cut at special tokens, then by the vocabulary's pattern into
 pieces; a piece's bytes are a doubly linked list of symbols, and a priority queue
 holds (rank, position) of the merges that its neighbours allow.  The lowest
 rank is merged first, leftmost among equals; an entry whose symbols have
-changed since is stale and skipped.  Pieces repeat, so each process keeps a
-table of those it has encoded, bounded in entries and in the length of each.  Decoding concatenates the vocabulary's
-byte strings and reads them as UTF-8, with U+FFFD for what is not.
+changed since is stale and skipped.  Pieces repeat, so each task keeps a table
+of those it has encoded, bounded in entries and in the length of each.  Decoding
+concatenates the vocabulary's byte strings and reads them as UTF-8, with U+FFFD
+for what is not.
 
-A null text is empty and gives no tokens; a long one is encoded whole.  Repeated rows each give a row; an
-empty table gives an empty one.
+A null text is empty and gives no tokens; a long one is encoded whole.  Repeated
+rows each give a row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from toplane.llm.token_counts import vocabulary_path
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of text, as the byte-level pre-tokenizer cuts them.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a process knows at most, twice over: when the newer table is full, it takes the place of the older one.
-MAX_PIECES = 64_000
+#: Pieces that a task knows at most, twice over: when the newer table is full, it takes the place of the older one.
+MAX_PIECES = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -107,6 +108,10 @@ class Codec:
             self.known[text] = found
         return found
 
+    def forget(self) -> None:
+        """Frees the table of pieces, as at the end of a task: workers live on."""
+        self.known, self.older = {}, {}
+
     def join(self, ids: list[int]) -> bytes:
         strings = self.strings
         return b"".join([strings[i] for i in ids])
@@ -149,6 +154,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
         for batch in batches:
             ids = pa.array([own.encode(x.as_py() or "") for x in batch.column(where)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=schema.names)
+        own.forget()
 
     return in_batches(docs, run, schema)
 
@@ -182,6 +188,7 @@ def digests(docs: DataFrame, keys: list[str], text_col: str = "text", vocabulary
                 ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                 texts.append(hashlib.sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=schema.names)
+        own.forget()
 
     return named(in_batches(inner, run, schema), names, keys, "n_tokens", "ids_sha256", "decoded_sha256")
 
