@@ -314,7 +314,7 @@ def repeated_spans(inner: DataFrame, length: int = LENGTH, size: int = ANCHOR, m
 
     `row` is a hash of (doc_id, text).
     """
-    # counts are combined before they move; they are written, so that adaptive execution may split the join at hot anchors
+    # counts are combined before they move; they are written, as are the spans below, so that adaptive execution may split the joins at hot anchors
     often = find_anchors(inner, length, size).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     often = stored(often)
     repeats = stored(find_blocks(inner, length, size).join(often, "h").select("row", "h", "bh", "at"))
@@ -323,7 +323,7 @@ def repeated_spans(inner: DataFrame, length: int = LENGTH, size: int = ANCHOR, m
     wanted = kinds.join(mixed, "h").groupBy("one.row").agg(F.collect_list(F.struct("h", "bh", "one.at")).alias("wanted"))
     body = stored(cut_out(inner.join(wanted, "row").select(*inner.columns, "wanted"), length).dropDuplicates(["h", "bh"]))
     equal = kinds.filter("times > 1").select("h", "bh", F.lit(0).alias("lo"), starts_of(F.col("one.at")).cast("int").alias("hi"))
-    found = repeats_among(body, length, size, max_blocks).union(equal).groupBy("h", "bh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = stored(repeats_among(body, length, size, max_blocks).union(equal).groupBy("h", "bh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     first = F.shiftright("at", PLACE_BITS)
     return repeats.join(found, ["h", "bh"]).select("row", first.alias("first"), F.explode("spans").alias("s")).select("row", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"))
 
