@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplane.llm.shared import extended, in_batches, keyed, named, stored, table
-from toplane.llm.textops import LOWER, NORMAL_WORD, byte_hashes, chunks, gram_hashes, segments
+from toplane.llm.textops import LOWER, NORMAL_PATTERN, NORMAL_WORD, byte_hashes, chunks, gram_hashes, segments, sql_words
 
 WINDOW = 10
 #: Above this many bytes of item text, the items go in blocks of that size.
@@ -265,3 +265,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda a, x: a + x["words"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+
+
+#: Windows as strings of words with a space between two, compared whole.
+ORACLE = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {sql_words("text", NORMAL_PATTERN, lower=True)} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {sql_words("text", NORMAL_PATTERN, lower=True)} AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT item, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
+hits AS MATERIALIZED (SELECT r, i, n, item FROM places JOIN windows USING (n, g)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplane.llm.shared import extended, in_batches, keyed, named, stored, table
-from toplane.llm.textops import NOT_NEWLINE, SPACED_WORD, _table, byte_hashes, chunks, gram_hashes, owners, segments, sums_by
+from toplane.llm.textops import NOT_NEWLINE, SPACED_PATTERN, SPACED_WORD, _table, byte_hashes, chunks, gram_hashes, owners, segments, sql_words, sums_by
 
 SYMBOLS = _table(b"#*$%&|<>")
 #: Bytes that begin a code point.
@@ -144,4 +144,54 @@ def judge(docs: DataFrame, keys: list[str], host_col: str = "source", text_col:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    out = judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    rates = (F.round(F.col("host_rates")[i], 6).alias(f"rate_{name}") for i, name in enumerate(RULES))
+    return out.select("doc_id", *STATS, "base_failed", *rates, "kept")
+
+
+def _sql_hosts() -> str:
+    """hosts(host, rate_<rule>..., host_kept) from the table stats, as host_verdicts() says."""
+    n, f = range(len(RULES)), [f"CAST(sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS DOUBLE) AS f{i}" for i, rule in enumerate(RULES.values())]
+    mean = "{one} / greatest({many}, 1)"
+    spread = "greatest(CASE WHEN {many} > 1 THEN ({two} - {many} * ({mean}) * ({mean})) / ({many} - 1) ELSE 0 END, 0)"
+
+    def moments(many: str, one: str, two: str) -> tuple[str, str]:
+        of = mean.format(one=one, many=many)
+        return of, spread.format(many=many, two=two, mean=of)
+
+    prior, limits = [], []
+    for i in n:
+        m, v = moments("hosts", f"one{i}", f"two{i}")
+        prior += [f"{m} AS m{i}", f"{v} AS v{i}"]
+        m, v = moments("(hosts - 1)", f"(one{i} - x{i})", f"(two{i} - x{i} * x{i})")
+        limits.append(f"CASE WHEN hosts > 1 THEN least({MOST_LIMIT}, greatest({LEAST_LIMIT}, {m} + {DEVIATIONS} * sqrt({v}))) ELSE {MOST_LIMIT} END AS limit{i}")
+    weight = "(CASE WHEN v{i} > 1e-12 AND m{i} * (1 - m{i}) > v{i} THEN m{i} * (1 - m{i}) / v{i} - 1 ELSE {least} END)"
+    weights = [weight.format(i=i, least=PRIOR_WEIGHT) for i in n]
+    return f"""
+failed AS (SELECT host, CAST(count(*) AS DOUBLE) AS n_docs, {", ".join(f)} FROM stats GROUP BY host),
+shares AS (SELECT *, {", ".join(f"f{i} / n_docs AS x{i}" for i in n)} FROM failed),
+sums AS (SELECT CAST(count(*) AS DOUBLE) AS hosts, {", ".join(f"sum(x{i}) AS one{i}, sum(x{i} * x{i}) AS two{i}" for i in n)} FROM shares),
+priors AS (SELECT *, {", ".join(prior)}, {", ".join(limits)} FROM shares CROSS JOIN sums),
+rated AS (SELECT *, {", ".join(f"(f{i} + m{i} * {w}) / (n_docs + {w}) AS rate_{name}" for i, (name, w) in enumerate(zip(RULES, weights, strict=True)))} FROM priors),
+hosts AS (SELECT *, {" AND ".join(f"rate_{name} <= limit{i}" for i, name in enumerate(RULES))} AS host_kept FROM rated)"""
+
+
+#: Lines and windows are compared whole.
+ORACLE = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text, {sql_words("text", SPACED_PATTERN)} AS w FROM documents),
+lines AS (
+  SELECT r, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines
+  FROM (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{SPACED_PATTERN}') GROUP BY r, line)
+  GROUP BY r),
+places AS MATERIALIZED (SELECT r, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM docs)),
+twice AS (SELECT r, i FROM places JOIN (SELECT r, g FROM places GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+words AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS k FROM twice) GROUP BY r),
+stats AS MATERIALIZED (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (r) LEFT JOIN words USING (r)),{_sql_hosts()}
+SELECT doc_id, {", ".join(STATS)}, {RULES["base"]} AS base_failed, {", ".join(f"round(rate_{name}, 6) AS rate_{name}" for name in RULES)},
+       NOT ({RULES["base"]}) AND host_kept AS kept
+FROM stats JOIN hosts ON stats.host IS NOT DISTINCT FROM hosts.host
+"""

@@ -399,3 +399,28 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["bytes"])
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every LENGTH-byte string of every document by its md5, from overlapping pieces of the text in hexadecimal digits (two a byte).
+ORACLE = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, o, substr(h, 2 * o + 1, {2 * (1024 + LENGTH - 1)}) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1, 1024)) AS o FROM docs)),
+strings AS MATERIALIZED (
+  SELECT r, o + i AS p, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS m
+  FROM (SELECT r, o, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS i FROM pieces)),
+twice AS (SELECT r, p FROM strings WHERE m IN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1)),
+marked AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM twice),
+spans AS MATERIALIZED (
+  SELECT r, min(p) AS lo, max(p) + {LENGTH} AS hi
+  FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM marked) GROUP BY r, run),
+kept AS (
+  SELECT r, string_agg(substr(h, 2 * s.lo + 1, 2 * (s.hi - s.lo)), '' ORDER BY s.lo) AS h
+  FROM (
+    SELECT r, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM spans WINDOW w AS (PARTITION BY r ORDER BY lo)
+    UNION ALL SELECT r, max(hi), length(any_value(h)) // 2 FROM spans JOIN docs USING (r) GROUP BY r) s
+  JOIN docs USING (r) GROUP BY r),
+cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(docs.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, docs.h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN cut USING (r)
+"""

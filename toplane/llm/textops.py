@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ NOT_NEWLINE = ~_table([0x0A])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: The same words as patterns, for SQL.
+SPACED_PATTERN = r"[^\x20\x09-\x0D]+"
+NORMAL_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def sql_words(column: str, pattern: str, lower: bool = False) -> str:
+    """DuckDB SQL for the words of a text (null: none), with A-Z in lower case if asked."""
+    text = f"coalesce({column}, '')"
+    if lower:
+        text = f"translate({text}, '{ascii_uppercase}', '{ascii_lowercase}')"
+    return f"regexp_extract_all({text}, '{pattern}')"
+
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
