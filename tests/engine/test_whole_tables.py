@@ -84,3 +84,24 @@ def test_samples_follow_the_library(spark, sf_dir):
     items = np.concatenate(histories)
     p = samplers.unigram_distribution(np.bincount(items))
     assert all(r["p"] == pytest.approx(p[r["iid"]], abs=1e-6) for r in catalogue.QUERIES["s_unigram_dist"](spark, sf_dir).collect())
+
+
+def test_clusters_rows_and_samples(spark):
+    from toplane.functions import samplers
+    from toplane.plans import algebra
+
+    rows = [(1, [1.0, 0.0], 7), (2, [0.0, 2.0], 9), (3, [3.0, 1.0], 7), (4, None, 9), (5, [0.0, 0.0], None), (None, [1.0, 1.0], 9)]
+    vectors = spark.createDataFrame(rows, "i bigint, v array<double>, label int")
+    centres = algebra.mean_vectors(vectors.select("label", "v"))
+    assert {r["id"]: r["vec"] for r in centres.collect()} == {7: [2.0, 0.5], 9: [0.5, 1.5]}
+    assert {(r["i"], r["j"]) for r in algebra.assigned_clusters(vectors.select("i", "v"), centres).collect()} == {(1, 7), (2, 9), (3, 7)}
+    assert algebra.assigned_clusters(vectors.select("i", "v").limit(0), centres).collect() == []
+
+    cells = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (2, 1, 4.0)], "uid int, iid int, value double")
+    assert sorted(map(tuple, algebra.row_set_nonzero(cells, 1, 9.0).collect())) == [(1, 1, 9.0), (1, 2, 9.0), (2, 1, 4.0)]
+    assert sorted(map(tuple, algebra.row_set_nonzero(cells, 1).collect())) == [(2, 1, 4.0)]
+
+    events = spark.createDataFrame([(1, 5, 1.0), (1, 6, 2.0), (1, 5, 3.0), (2, 6, 1.0)], "uid int, iid int, ts double")
+    assert sorted(map(tuple, samplers.next_items(events).collect())) == [(1, 5, 6, 1), (1, 6, 5, 2)]
+    assert sorted(map(tuple, samplers.skipgram_counts(events, 2).collect())) == [(5, 6, 2), (6, 5, 2)]
+    assert {r["iid"]: round(r["p"], 9) for r in samplers.unigram_probabilities(events).collect()} == {5: 0.5, 6: 0.5}

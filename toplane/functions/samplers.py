@@ -1,10 +1,12 @@
-"""Samplers of positives and negatives for the trained models, on numpy arrays."""
+"""Samplers of positives and negatives for the trained models, on numpy arrays, and what they draw from, as tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def unigram_distribution(counts: np.ndarray) -> np.ndarray:
@@ -13,6 +15,37 @@ def unigram_distribution(counts: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
+def unigram_probabilities(events: DataFrame, item: str = "iid") -> DataFrame:
+    """(item, p): unigram_distribution() over a table of events."""
+    weights = events.groupBy(item).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(0.75)).alias("w"))
+    # the total is one row by construction
+    return weights.crossJoin(F.broadcast(weights.agg(F.sum("w").alias("total")))).select(item, (F.col("w") / F.col("total")).alias("p"))
+
+
+def _in_order(user: str, time: list[str]) -> Window:
+    return Window.partitionBy(user).orderBy(*time)
+
+
+def skipgram_counts(events: DataFrame, window: int, user: str = "uid", item: str = "iid", time: list[str] | None = None) -> DataFrame:
+    """(focus, context, n): items of a user at most `window` places apart, both ways; an item is no context of itself."""
+    w = _in_order(user, time or ["ts"])
+    near = F.array(*(F.lead(item, k).over(w) for k in range(1, window + 1)))
+    pairs = events.select(F.col(item).alias("a"), near.alias("near")).select("a", F.explode("near").alias("b")).filter("b is not null and b <> a")
+    # counted one way before they are mirrored
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def way(focus: str, context: str) -> Column:
+        return F.struct(F.col(focus).alias("focus"), F.col(context).alias("context"))
+
+    return counts.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p"), "n").groupBy("p.focus", "p.context").agg(F.sum("n").alias("n"))
+
+
+def next_items(events: DataFrame, user: str = "uid", item: str = "iid", time: list[str] | None = None) -> DataFrame:
+    """(user, item, target, place): each event's item, the one after it, and its place from 1 on; the last event has no target and is left out."""
+    w = _in_order(user, time or ["ts"])
+    return events.select(user, F.col(item).alias("item"), F.lead(item).over(w).alias("target"), F.row_number().over(w).cast("bigint").alias("place")).filter("target is not null")
+
+
 class PositiveNegativeSampler:
     """Batches of (users, positives, negatives).
 

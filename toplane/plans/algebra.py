@@ -138,14 +138,14 @@ def vector_blocks(vectors: DataFrame, limit: int) -> Iterator[tuple[np.ndarray,
         yield block()
 
 
-def nearest_in_block(ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, sim) of the k nearest others of each id, ties to the larger one."""
+def nearest_in_block(ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray, k: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sim) of the k nearest others of each id, ties to the larger one; with `itself`, equal ids count as well."""
     best, named = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
     for a in range(0, len(others), TILE_COLUMNS):
         part = others[a : a + TILE_COLUMNS]
         sim = units @ other_units[a : a + TILE_COLUMNS].T
         score = np.round(sim, DIGITS)
-        score[(sim == 0) | (ids[:, None] == part[None, :])] = -np.inf
+        score[(sim == 0) if itself else (sim == 0) | (ids[:, None] == part[None, :])] = -np.inf
         each = np.arange(len(ids))
         for _ in range(min(k, len(part))):
             # the first of equals has the larger id
@@ -159,14 +159,18 @@ def nearest_in_block(ids: np.ndarray, units: np.ndarray, others: np.ndarray, oth
     return ids[row], named[row, column], best[row, column]
 
 
-def nearest_vectors(vectors: DataFrame, k: int, limit: int = BLOCK_BYTES) -> DataFrame:
-    """(i, j, sim): the k nearest by cosine of every vector (id, array) among all others.
+def nearest_vectors(vectors: DataFrame, k: int, limit: int = BLOCK_BYTES, among: DataFrame | None = None) -> DataFrame:
+    """(i, j, sim): the k nearest by cosine of every vector (id, array) among all others, or among the vectors (id, array) of another table.
 
-    One scan of all vectors for each block of at most `limit` bytes of them.
+    One scan of all vectors for each block of at most `limit` bytes of those that they are held against.
     Null vectors are left out; a vector of norm 0 has no neighbours and is none.
     """
-    spark = vectors.sparkSession
-    known = vectors.toDF("i", "v").filter("i is not null and v is not null").select(F.col("i").cast("bigint").alias("i"), F.col("v").cast("array<double>").alias("v"))
+    spark, itself = vectors.sparkSession, among is not None
+
+    def as_known(df: DataFrame) -> DataFrame:
+        return df.toDF("i", "v").filter("i is not null and v is not null").select(F.col("i").cast("bigint").alias("i"), F.col("v").cast("array<double>").alias("v"))
+
+    known = as_known(vectors)
     left = known.repartition(max(1, -(-known.count() // 1024)))
 
     def scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -174,14 +178,32 @@ def nearest_vectors(vectors: DataFrame, k: int, limit: int = BLOCK_BYTES) -> Dat
         for batch in batches:
             for lo in range(0, batch.num_rows, TILE_ROWS):
                 tile = batch.slice(lo, TILE_ROWS)
-                i, j, sim = nearest_in_block(tile.column("i").to_numpy(), unit_rows(tile.column("v").to_pylist()), others, units, k)
+                i, j, sim = nearest_in_block(tile.column("i").to_numpy(), unit_rows(tile.column("v").to_pylist()), others, units, k, itself)
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sim)], names=["i", "j", "sim"])
 
     out = None
-    for block in vector_blocks(known, limit):
+    for block in vector_blocks(known if among is None else as_known(among), limit):
         sent = spark.sparkContext.broadcast(block)
         part = left.mapInArrow(lambda it, sent=sent: scan(it, sent), "i bigint, j bigint, sim double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "i bigint, j bigint, sim double")
     return top_k_neighbours(out, k)
+
+
+def mean_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, vec): the mean of all arrays (id, array) of an id, place by place; nulls are left out."""
+    each = vectors.toDF("id", "v").filter("id is not null and v is not null").select("id", F.posexplode("v").alias("place", "x"))
+    means = each.groupBy("id", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("all")).select("id", F.transform("all", lambda p: p["x"]).alias("vec"))
+
+
+def assigned_clusters(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """(i, j, sim): for every vector (id, array) the nearest of the centres (id, array) by cosine."""
+    return nearest_vectors(vectors, 1, among=centres)
+
+
+def row_set_nonzero(matrix: DataFrame, row: int, to: float = 0.0, by: str = USER, value: str = "value") -> DataFrame:
+    """The matrix with all stored cells of a row set to one value; set to 0, they are stored no more."""
+    out = matrix.withColumn(value, F.when(F.col(by) == row, F.lit(float(to))).otherwise(F.col(value)))
+    return out.filter(F.col(value) != 0)

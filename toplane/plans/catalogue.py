@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toplane.functions import metrics as M
+from toplane.functions import samplers
 from toplane.operators import encode, filters, postprocess, scenarios, splits
 from toplane.operators.interactions import Interactions
 from toplane.operators.models import baseline, factor, knn, linear, neural, sequential, timeaware
@@ -587,7 +588,22 @@ def _model(name: str, make: Callable[[], object], validated: bool = False) -> No
 
 _model("r_ease", lambda: linear.EASE(l2=50))
 _model("r_slim", lambda: linear.SLIM())
-_model("r_damib", lambda: linear.DAMIBCover(knn.ItemKNN(K=20)))
+
+
+@query(
+    "r_damib",
+    f"SELECT uid, iid, {R('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round(score, 9) DESC, iid DESC) AS k FROM m) WHERE k <= 10",
+    a="SELECT uid, j AS iid, s, row_number() OVER (PARTITION BY uid, j ORDER BY s DESC) AS k FROM hist JOIN sim ON hist.iid = sim.i",
+    t="SELECT uid, iid, k, sum(s) OVER (PARTITION BY uid, iid ORDER BY k) AS t FROM a",
+    g="SELECT uid, iid, k, t / pow(k, 0.75) AS v, CASE WHEN k = 1 OR t / pow(k, 0.75) >= lag(t) OVER (PARTITION BY uid, iid ORDER BY k) / pow(k - 1, 0.75) THEN 0 ELSE 1 END AS falls FROM t",
+    m="SELECT uid, iid, max_by(v, k) AS score FROM (SELECT *, sum(falls) OVER (PARTITION BY uid, iid ORDER BY k) AS fallen FROM g) WHERE fallen = 0 GROUP BY uid, iid",
+)
+def _(s, d):
+    train, given, _ = _test(s, d)
+    model = linear.DAMIBCover(knn.ItemKNN(K=20)).fit(train)
+    return algebra.top_k_values(model.predict(given), 10).withColumn("score", r6("score"))
+
+
 _model("r_nmf", lambda: factor.NMF(num_components=8, max_iter=5))
 _model("r_svd", lambda: factor.SVD(num_components=8))
 _model("r_nmf_i2i", lambda: factor.NMFItemToItem(num_components=8))
@@ -760,7 +776,16 @@ def _(s, d):
     return _pipeline(s, d, grid=False)
 
 
-@query("l_grid")
+def _at(k: int) -> dict[str, str]:
+    """The flagship's tables under names with a k, for k neighbours."""
+    import re
+
+    names = ("sc", "rec", "rkall", "rk", "hit", "per")
+    own = {f"{n}{k}": re.sub(rf"\b({'|'.join(names)}|sim)\b", rf"\g<1>{k}", CTES[n]) for n in names}
+    return {f"sim{k}": f"SELECT i, j, s FROM (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY round(s, 9) DESC, j DESC) AS k FROM sim) WHERE k <= {k}"} | own
+
+
+@query("l_grid", " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, {R(f'avg(d / {_IDEAL})')} AS ndcg_10 FROM per{k}" for k in (10, 20)), **_at(10), **_at(20))
 def _(s, d):
     return _pipeline(s, d, grid=True)
 
@@ -773,11 +798,28 @@ def _(s, d):
     return algebra.nearest_vectors(read(s, d, "embeddings").select("vec_id", "embedding"), 5).withColumn("sim", r6("sim"))
 
 
+@query(
+    "emb_cluster_assign",
+    f"SELECT i AS vec_id, j AS cluster, {R('s')} AS sim FROM top",
+    e="SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    ce="SELECT label, list(m ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS p FROM e) GROUP BY label, p) GROUP BY label",
+    raw="SELECT x.vec_id AS i, CAST(y.label AS BIGINT) AS j, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v)) AS s FROM e x CROSS JOIN ce y",
+    top=_KEEP.format("raw", 1),
+)
+def _(s, d):
+    x = read(s, d, "embeddings")
+    found = algebra.assigned_clusters(x.select("vec_id", "embedding"), algebra.mean_vectors(x.select("label", "embedding")))
+    return found.select(F.col("i").alias("vec_id"), F.col("j").alias("cluster"), r6("sim").alias("sim"))
+
+
+@query("x_row_set", "SELECT uid, iid, CAST(CASE WHEN uid = 3 THEN 2.0 ELSE count(*) END AS DOUBLE) AS value FROM clicks WHERE uid <> 5 GROUP BY uid, iid")
+def _(s, d):
+    return algebra.row_set_nonzero(algebra.row_set_nonzero(im(clicks(s, d)).values, 5), 3, 2.0).select("uid", "iid", F.col("value").cast("double").alias("value"))
+
+
 @query("s_unigram_dist", f"SELECT iid, {R('pow(CAST(count(*) AS DOUBLE), 0.75) / sum(pow(CAST(count(*) AS DOUBLE), 0.75)) OVER ()')} AS p FROM clicks GROUP BY iid")
 def _(s, d):
-    weights = clicks(s, d).groupBy("iid").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(0.75)).alias("w"))
-    total = weights.agg(F.sum("w").alias("total"))
-    return weights.crossJoin(F.broadcast(total)).select("iid", r6(F.col("w") / F.col("total")).alias("p"))
+    return samplers.unigram_probabilities(clicks(s, d)).withColumn("p", r6("p"))
 
 
 _POS = "SELECT uid, iid, row_number() OVER (PARTITION BY uid ORDER BY ts, eid) AS n FROM clicks"
@@ -785,18 +827,9 @@ _POS = "SELECT uid, iid, row_number() OVER (PARTITION BY uid ORDER BY ts, eid) A
 
 @query("s_skipgram_pairs", "SELECT x.iid AS focus, y.iid AS context, CAST(count(*) AS BIGINT) AS n FROM q x JOIN q y ON x.uid = y.uid AND abs(x.n - y.n) BETWEEN 1 AND 2 AND x.iid <> y.iid GROUP BY x.iid, y.iid", q=_POS)
 def _(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("uid").orderBy("ts", "eid")
-    near = F.array(*(F.lead("iid", k).over(w) for k in (1, 2)))
-    pairs = clicks(s, d).select("iid", near.alias("near")).select("iid", F.explode("near").alias("o")).filter("o is not null and o <> iid")
-    both = pairs.select(F.explode(F.array(F.struct(F.col("iid").alias("focus"), F.col("o").alias("context")), F.struct(F.col("o").alias("focus"), F.col("iid").alias("context")))).alias("p"))
-    return both.groupBy("p.focus", "p.context").agg(F.count(F.lit(1)).alias("n"))
+    return samplers.skipgram_counts(clicks(s, d), 2, time=["ts", "eid"])
 
 
 @query("s_seq_targets", "SELECT uid, x.iid AS item, y.iid AS target, CAST(x.n AS BIGINT) AS place FROM q x JOIN q y USING (uid) WHERE y.n = x.n + 1", q=_POS)
 def _(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("uid").orderBy("ts", "eid")
-    return clicks(s, d).select("uid", F.col("iid").alias("item"), F.lead("iid").over(w).alias("target"), big(F.row_number().over(w)).alias("place")).filter("target is not null")
+    return samplers.next_items(clicks(s, d), time=["ts", "eid"])
