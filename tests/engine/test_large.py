@@ -6,7 +6,7 @@ import pytest
 from toplane.functions import samplers
 from toplane.functions.autograd import Optimiser, Var
 from toplane.operators.models import base, factor, neural
-from toplane.plans import catalogue
+from toplane.plans import algebra, catalogue
 
 
 def test_histories_are_read_as_item_numbers(spark, sf_dir, monkeypatch):
@@ -84,3 +84,50 @@ def test_dense_scores_are_dealt_out_by_cells(spark, monkeypatch):
     got = base.scores_of(*made, 1 << 20)
     assert got.rdd.getNumPartitions() == 6
     assert all(r["score"] == pytest.approx(users[r["uid"]] @ items[r["iid"]]) for r in got.collect()) and got.count() == 240
+
+
+@pytest.mark.parametrize("decay", [None, 0.01, 2.0])
+@pytest.mark.parametrize("share", [0.03, 0.5])
+def test_nearest_rows_against_brute_force(spark, monkeypatch, decay, share):
+    """Blocks of both kinds of columns, ties, rows of one time, rows without a common column."""
+    for name, n in {"LEFT_ROWS": 7, "RIGHT_ROWS": 11, "DENSE_COLUMNS": 5, "RIGHT_BLOCKS": 2, "TILE_ROWS": 4}.items():
+        monkeypatch.setattr(algebra, name, n)
+    rng = np.random.default_rng(8)
+    made = []
+    for first, n in ((0, 40), (20, 60)):
+        rows = {first + r: {int(c): float(rng.integers(1, 4)) for c in np.flatnonzero(rng.random(30) < share)} for r in range(n)}
+        rows[first + 1], rows[first + 2] = rows[first].copy(), rows[first].copy()
+        made.append({u: (own, float(u % 13) * 10) for u, own in rows.items()})
+    left, right = made
+    frames = [spark.createDataFrame([(u, c, w, t) for u, (own, t) in side.items() for c, w in own.items()], "id bigint, i bigint, w double, t double") for side in made]
+    got = {(r["u"], r["v"]): r["sim"] for r in algebra.nearest_rows(*frames, 4, decay).collect()}
+    want = {}
+    for u, (own, t) in left.items():
+        sims = [(sum(w * other[c] for c, w in own.items() if c in other) * (1 if decay is None else np.exp(decay * (s - t))), v) for v, (other, s) in right.items() if u != v and (decay is None or s != t)]
+        for sim, v in sorted(((round(x, 9), v) for x, v in sims if x), reverse=True)[:4]:
+            want[u, v] = sim
+    assert set(got) == set(want)
+    assert all(got[x] == pytest.approx(want[x], rel=1e-9, abs=1e-9) for x in want)
+    assert algebra.nearest_rows(frames[0].limit(0), frames[1], 4).count() == 0
+
+
+@pytest.mark.parametrize("name", ["r_kunn", "r_stan"])
+def test_user_neighbours_join_no_pairs_of_users(spark, tmp_path, name):
+    """No step makes a row for each two users of an item: 600 users of one item would be 360,000."""
+    rows = [(k, f"2024-01-{1 + k % 28:02d} 00:00:{k % 60:02d}", k % 600, "view", 1.0, '{"k": %d}' % (0 if k < 600 else k % 7)) for k in range(1200)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    out = catalogue.QUERIES[name](spark, str(tmp_path))
+    out.collect()
+    most, left = 0, [out._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        for kind in ("numOutputRows",):
+            m = node.metrics().get(kind)
+            most = max(most, m.get().value() if m.isDefined() else 0)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            left.append(node.plan())
+        left += [node.children().apply(k) for k in range(node.children().size())]
+    assert 0 < most < 100_000
