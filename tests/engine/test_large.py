@@ -131,3 +131,24 @@ def test_user_neighbours_join_no_pairs_of_users(spark, tmp_path, name):
             left.append(node.plan())
         left += [node.children().apply(k) for k in range(node.children().size())]
     assert 0 < most < 100_000
+
+
+def test_pairs_of_things_are_dealt_out_by_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 400), rng.integers(0, 200, 400), strict=True)})
+    df = spark.createDataFrame(cells, "uid bigint, iid bigint")
+    own = {}
+    for u, i in cells:
+        own.setdefault(u, set()).add(i)
+    want = {}
+    for items in own.values():
+        for i in items:
+            for j in items - {i}:
+                want[i, j] = want.get((i, j), 0) + 1
+    for limit in (100, 1 << 40):
+        monkeypatch.setattr(algebra, "PAIRS", limit)
+        got = algebra.symmetric_counts(df)
+        assert {(r["i"], r["j"]): r["n"] for r in got.collect()} == want
+        if limit == 100:
+            assert got.rdd.getNumPartitions() >= sum(want.values()) // 2 // limit > 4
+    assert algebra.symmetric_counts(df.limit(0)).count() == 0
