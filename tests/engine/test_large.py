@@ -152,3 +152,41 @@ def test_pairs_of_things_are_dealt_out_by_their_number(spark, monkeypatch):
         if limit == 100:
             assert got.rdd.getNumPartitions() >= sum(want.values()) // 2 // limit > 4
     assert algebra.symmetric_counts(df.limit(0)).count() == 0
+
+
+def test_random_ranks_a_bounded_number_of_cells(spark, monkeypatch):
+    from toplane.operators.models import baseline
+
+    x = spark.createDataFrame([(u, i) for u in range(60) for i in range(u % 3, 20, 3)], "uid bigint, iid bigint").selectExpr("uid", "iid", "1 as value")
+    monkeypatch.setattr(baseline, "parts_for", lambda cells, each=100: base.parts_for(cells, each))
+    got = baseline.Random(K=5, seed=1).fit(x).predict(x)
+    assert got.rdd.getNumPartitions() == 12
+    best = {}
+    for u in range(60):
+        draws = sorted((((u * 1009 + i * 9176 + u * i * 31) % 1000003 * 7919 + 104729) % 1000003, i) for i in range(20))
+        best[u] = {i for _, i in draws[-5:]}
+    rows = got.collect()
+    assert len(rows) == 300 and all(r["iid"] in best[r["uid"]] for r in rows)
+
+
+def test_least_squares_start_no_frame_for_each_key(spark, monkeypatch):
+    """Systems are summed from parts and batches, and equal the plain ones."""
+    rng = np.random.default_rng(10)
+    cells = [(u, i, float(rng.integers(1, 4))) for u in range(12) for i in range(30) if u == 0 or rng.random() < 0.3]
+    x = spark.createDataFrame(cells, "uid bigint, iid bigint, c double")
+    vectors = rng.normal(size=(30, 3))
+    monkeypatch.setattr(factor, "PART", 7)
+    model = factor.WeightedMatrixFactorization(num_components=3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # keys are cut by batches
+    try:
+        solved = model._solve(x, "uid", "iid", factor.as_factors(spark, np.arange(30), vectors))
+        assert "FlatMapGroupsInPandas" not in solved._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["vec"] for r in solved.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 12
+    for u in range(12):
+        own = [(i, c) for v, i, c in cells if v == u]
+        y, c = vectors[[i for i, _ in own]], np.array([c for _, c in own])
+        want = np.linalg.solve(vectors.T @ vectors + y.T @ (y * c[:, None]) + 0.01 * np.eye(3), y.T @ (1 + c))
+        assert np.allclose(got[u], want)
