@@ -138,6 +138,18 @@ def test_held_out_users_are_scored_where_they_are(parts, monkeypatch, make, name
     assert model._value(stop, model._validation((given._with(given.df.limit(0)), out))) is None
 
 
+def test_transitions_are_counted_where_the_events_are(parts):
+    train = parts[0]
+    model = MODELS[1](max_epochs=1)
+    model.num_users, model.num_items = train.shape
+    model.events_ = model._read(train)[0]
+    cluster = np.random.default_rng(5).integers(0, 3, train.shape[1])
+    want = np.zeros((3, 3))
+    for h in neural.read_histories(train)[1]:
+        np.add.at(want, (cluster[h[:-1]], cluster[h[1:]]), 1)
+    assert (model.transitions(cluster) == want).all()
+
+
 def test_without_pairs_nothing_is_learned(spark, parts):
     train = parts[0]
     for df in (train.df.limit(0), train.df.limit(1)):
